@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import packing, planes
+from orrery.llm import packing, pii, planes, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_bitplanes": planes.op7_bitplanes, "op8_packing": packing.op8_packing}
+    return {
+        "op4_pii": pii.op4_pii,
+        "op7_bitplanes": planes.op7_bitplanes,
+        "op8_packing": packing.op8_packing,
+        "op9_quality_rules": quality.op9_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
