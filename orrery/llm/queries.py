@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import packing, pii, planes, quality
+from orrery.llm import packing, pii, planes, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_pii": pii.op4_pii,
+        "op5_warc": warc.op5_warc,
         "op7_bitplanes": planes.op7_bitplanes,
         "op8_packing": packing.op8_packing,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.ORACLE_SQL}

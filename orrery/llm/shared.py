@@ -35,7 +35,7 @@ def file_system(uri: str):
 def open_output(uri: str):
     system, path = file_system(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)  # names ending in .zst would be compressed again
 
 
 def open_input(uri: str):
