@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontam, packing, pii, planes, quality, sharding, toxicity, warc
+from orrery.llm import decontam, jaccard, packing, pii, planes, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_pii": pii.op4_pii,
         "op5_warc": warc.op5_warc,
