@@ -47,8 +47,8 @@ def risk_level(score: Column | str) -> Column:
     return F.when(col(score) < 25, RISK_LEVELS[0]).when(col(score) <= 50, RISK_LEVELS[1]).when(col(score) <= 75, RISK_LEVELS[2]).otherwise(RISK_LEVELS[3])
 
 
-def sigmoid(x: Column, slope: float = 1.0) -> Column:
-    return 1 / (1 + F.exp(-slope * x))
+def sigmoid(x: Column | str, slope: float = 1.0) -> Column:
+    return 1 / (1 + F.exp(-slope * col(x)))
 
 
 def prior_term(x: Column | str) -> Column:
@@ -84,8 +84,9 @@ def dedup_rate(hits: Column | str, table: Column | str) -> Column:
 
 
 def age_seconds(ts: Column | str, as_of: Column) -> Column:
-    """Seconds from ts to as_of, at least 0; both of the same timestamp kind."""
-    return F.greatest(F.lit(0), (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(col(ts).cast("timestamp"))) / 1e6)
+    """Seconds from ts to as_of, at least 0, null for a null time; both of the same timestamp kind."""
+    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(col(ts).cast("timestamp"))) / 1e6
+    return F.when(age.isNotNull(), F.greatest(F.lit(0.0), age))  # greatest would pass over a null
 
 
 def bytes_text(n: Column | str) -> Column:

@@ -46,9 +46,9 @@ def collapse_cost(masses: DataFrame, zone: str, weight: str, positive: list[str]
 
 def golden_prior(nodes: DataFrame, open_: Column, node: str) -> DataFrame:
     """PHI_INV over the open nodes and PHI_INV^2 over the closed ones; an empty class gives its mass to the other."""
-    counts = nodes.agg(F.sum(F.when(open_, 1).otherwise(0)).alias("o"), F.sum(F.when(open_, 0).otherwise(1)).alias("c"))  # one row
-    a, b = F.when(F.col("c") == 0, 1.0).otherwise(PHI_INV), F.when(F.col("o") == 0, 1.0).otherwise(PHI_INV**2)
-    return nodes.withColumn("_open", open_).crossJoin(F.broadcast(counts)).select(node, F.col("_open").alias("open"), F.when(F.col("_open"), a / F.col("o")).otherwise(b / F.col("c")).alias("prior"))
+    counts = nodes.agg(F.sum(F.when(open_, 1).otherwise(0)).alias("_o"), F.sum(F.when(open_, 0).otherwise(1)).alias("_c"))  # one row
+    a, b = F.when(F.col("_c") == 0, 1.0).otherwise(PHI_INV), F.when(F.col("_o") == 0, 1.0).otherwise(PHI_INV**2)
+    return nodes.withColumn("_open", open_).crossJoin(F.broadcast(counts)).select(node, F.col("_open").alias("open"), F.when(F.col("_open"), a / F.col("_o")).otherwise(b / F.col("_c")).alias("prior"))
 
 
 def imputed(nodes: DataFrame, known: DataFrame, node: str, value: str) -> DataFrame:
