@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontam, jaccard, packing, pii, planes, quality, sharding, toxicity, warc
+from orrery.llm import decontam, jaccard, ordinal, packing, pii, planes, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_pii": pii.op4_pii,
         "op5_warc": warc.op5_warc,
+        "op6_ordinal_quality": ordinal.op6_ordinal_quality,
         "op7_bitplanes": planes.op7_bitplanes,
         "op8_packing": packing.op8_packing,
         "op9_quality_rules": quality.op9_quality_rules,
