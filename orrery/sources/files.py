@@ -126,6 +126,30 @@ def python_items(files: DataFrame, path: str = "path", text: str = "text") -> Da
     return rows.withColumn("fib_dist", F.abs(F.col("n_lines") - nearest_fibonacci("n_lines")) / PHI)
 
 
+def python_totals(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """By source: path, n_classes, n_imports, n_lines, n_comments (lines), and notes as (line, level, rule); none of these for one that does not parse."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for p, t in zip(pdf[path], pdf[text], strict=True):
+                lines = (t or "").splitlines()
+                try:
+                    nodes = list(ast.walk(ast.parse(t or "")))
+                    _, notes = scan_source(t or "")
+                except (SyntaxError, ValueError, RecursionError):
+                    out.append((p, None, None, len(lines), None, []))
+                    continue
+                count = lambda *kinds: sum(isinstance(n, kinds) for n in nodes)
+                told = [{"line": line, "level": level, "rule": rule} for line, level, rule in sorted(notes)]
+                out.append((p, count(ast.ClassDef), count(ast.Import, ast.ImportFrom), len(lines), sum(x.lstrip().startswith("#") for x in lines), told))
+            yield pd.DataFrame(out, columns=["path", "n_classes", "n_imports", "n_lines", "n_comments", "notes"]).astype({c: "Int64" for c in ("n_classes", "n_imports", "n_lines", "n_comments")})
+
+    return files.select(path, text).mapInPandas(run, "path string, n_classes long, n_imports long, n_lines long, n_comments long, notes array<struct<line: long, level: string, rule: string>>")
+
+
 def size_rule(items: DataFrame) -> DataFrame:
     """Functions of more than 55 lines that are more than 10 lines from a Fibonacci number."""
     from orrery.functions.exprs import nearest_fibonacci

@@ -100,3 +100,17 @@ def test_late_events_are_dropped(spark, tmp_path):
         query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((str(r.start), r.n) for r in got) == [("2024-01-01 00:00:00", 1), ("2024-01-03 00:00:00", 1)]
+
+
+def test_audit(spark):
+    from orrery.plans import audit
+
+    frame = spark.createDataFrame([("p.py", SOURCE), ("q.py", "# only a comment\n"), ("r.py", "def wide():\n    return 1\n")], "path string, text string")
+    rows = {r.path: r for r in audit.audit(frame).collect()}
+    assert (rows["p.py"].n, rows["p.py"].n_imports, rows["p.py"].n_anomalies, rows["p.py"].largest_item.item) == (3, 2, 3, "outer")
+    assert (rows["q.py"].radiance, rows["q.py"].kurt, rows["q.py"].comment_ratio) == (60.0, 3.0, 1.0)
+    assert {r.path for r in audit.check(audit.audit(frame), gate="nb_anomalies == 0 and nb_fonctions > 0").collect()} == {"p.py", "q.py"}
+    assert {r.path for r in audit.check(audit.audit(frame), gate="1/(nb_fonctions) > 0").collect()} == {"q.py"}
+    assert {r.path: r.value for r in audit.evaluated(audit.audit(frame), "nb_fonctions * 2").collect()}["p.py"] == 6
+    assert audit.overview(audit.audit(frame)).first().n_sources == 3
+    assert [r.item for r in audit.same_names(frame).collect()] == ["wide"]
