@@ -86,7 +86,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
     """One row per stratum, rule and cutoff: n_good, n_rejected, p_value, and the worst p-value up to it."""
     good = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_q")).where("_q = 1")
-    rows = stats.where(~base_failed()).select(F.col(id_col).alias("_id"), F.col(stratum_col).cast("string").alias("stratum"), *[r.alias(f"_{k}") for k, r in ratios().items()]).join(good, "_id")
+    rows = _only(stats, ~base_failed()).select(F.col(id_col).alias("_id"), F.col(stratum_col).cast("string").alias("stratum"), *[r.alias(f"_{k}") for k, r in ratios().items()]).join(good, "_id")
     beyond = {k: sum((F.when(F.col(f"_{k}") > x, 1).otherwise(0) for x in c), F.lit(0)) for k, c in CUTOFFS.items()}
     passed = F.array(*[F.struct(F.lit(k).alias("rule"), n.alias("beyond")) for k, n in beyond.items()])
     counts = rows.select("stratum", F.explode(passed).alias("_r")).groupBy("stratum", "_r.rule", "_r.beyond").agg(F.count("*").alias("n"))
@@ -128,7 +128,9 @@ def passes(chosen: dict[str | None, dict[str, float]], stratum_col: str = "lang"
     return verdict
 
 
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_capitals"]
+def _only(stats: DataFrame, condition: Column) -> DataFrame:
+    """The rows of a condition on statistics. A filter that were pushed below them would compute each of them again; a row number in it keeps it above."""
+    return stats.withColumn("_at", F.monotonically_increasing_id()).where(condition & (F.col("_at") >= 0)).drop("_at")
 
 
 def judge(stats: DataFrame, chosen: dict, stratum_col: str = "lang") -> DataFrame:
@@ -140,7 +142,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
     """The documents that pass, with their columns. Texts are read once to fit and once to judge."""
     named = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("lang"), F.col("text"))
     chosen = fit(statistics(named, ["doc_id", "lang"]), labels, risk, delta)
-    return judge(statistics(named, ["_row", "lang"]), chosen).where("kept").select("_row.*")
+    return _only(judge(statistics(named, ["_row", "lang"]), chosen), F.col("kept")).select("_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
