@@ -7,9 +7,9 @@
     that link share a shingle among the first n - ceil(3n/4) + 1 of each; any fixed order is right,
     and the sketch only makes the runs of sets that share one short. Prefixes meet in buckets of shingles.
 3.  In a run, each set is a candidate with the run's first PIVOTS sets, as far as sizes and positions
-    allow a link. Candidates are verified, and links joined to components. Then runs that still hold
-    two components or more give all their candidates across components. So every link that
-    could join two components is verified, and large groups of near copies never give all their pairs.
+    allow a link. Candidates are verified, and links joined to components. Then, in longer runs that still
+    hold two components or more, all sets of different components that can link are compared, chunk by
+    chunk. So every link that could join two components is found, and no group gives all its pairs.
 4.  Verification is a prefix-tree join: the sets that are to be compared with one set are put in order,
     which is the depth-first order of their trie; going down, the overlap with the one set is counted
     once for shingles shared with the previous branch, and a subtree is left when the overlap so far
@@ -26,7 +26,7 @@ from __future__ import annotations
 import uuid
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from orrery.llm import shared
 from orrery.llm.textbytes import LOWER, WHITE, blocks, mix, range_hashes, word_ranges
@@ -37,6 +37,8 @@ PIVOTS = 3
 SKETCH, SLICE = 1 << 21, 1 << 16
 #: Prefix entries that a bucket is meant to hold.
 BUCKET_ENTRIES = 400_000
+#: Sets of a run that a unit of comparison takes from it, twice at most; and those put in a trie at once there.
+RUN_CHUNK, TRIE_BATCH = 1000, 32
 #: Tasks over which the comparisons with one set are dealt.
 SALTS = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +207,7 @@ def prefixes(classes: DataFrame, folder: str, sketch, buckets: int) -> DataFrame
 
 
 def runs(blobs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of runs (run, a = fp, n, pos; b null) and of candidates with the runs' pivots (a, b; run null)."""
+    """Rows of long runs (run, a = fp, n, pos; b null) and of candidates with the runs' pivots (a, b; run null)."""
 
     def one(bucket: int, parts: list[tuple]):
         columns: list[list] = [[] for _ in range(4)]
@@ -246,6 +248,9 @@ def runs(blobs: DataFrame, buckets: int) -> DataFrame:
         distinct = np.ones(pair.shape[1], bool)
         distinct[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
         pair = pair[:, distinct]
+        size = np.diff(np.append(np.flatnonzero(new), len(token)))
+        open_ = np.repeat(size > PIVOTS + 1, size)  # of shorter runs, the pivots' candidates are all
+        fp, n, token, pos = fp[open_], n[open_], token[open_], pos[open_]
         run = (np.int64(bucket) << 32) | token.astype(np.int64)
         r, q = len(run), pair.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(fp), pa.nulls(r, pa.int64()), pa.array(n), pa.array(pos)], names=["run", "a", "b", "n", "pos"])
@@ -274,12 +279,6 @@ def linkable(n, pos_n, m, pos_m):
     return (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (pos_n <= n - least) & (pos_m <= m - least)
 
 
-def _linkable(a: str, b: str) -> Column:
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    least = F.expr(f"(3 * ({a}.n + {b}.n) + 6) div 7")
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.col(f"{a}.pos") <= n - least) & (F.col(f"{b}.pos") <= m - least)
-
-
 def trie_join(x: np.ndarray, others: list[np.ndarray]) -> list[int]:
     """Overlaps of x with other sets, all ascending; -1 where it is too small for a link.
 
@@ -348,6 +347,73 @@ def verified(pairs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, overlap long, n_a long, n_b long")
 
 
+def across(runs_: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """Links between sets of one run whose labels differ: rows of (run, fp, n, pos, label) in, links (a, b, overlap, n_a, n_b) out.
+
+    A run of more than RUN_CHUNK sets is cut into chunks, and each pair of chunks is a unit of its own, so
+    that a task never holds more than two chunks of a run. Within a task, pairs that links found
+    there have connected meanwhile are not compared again; every other pair that can link is.
+    """
+    many = runs_.groupBy("run").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    rows = runs_.join(many.select("run", F.ceil(F.col("c") / RUN_CHUNK).cast("int").alias("k")), "run")
+    rows = rows.join(classes.select("fp", "file", "at"), "fp")
+    chunk = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    rows = rows.withColumn("own", chunk).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    units = rows.select("run", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "fp", "n", "pos", "label", "file", "at")
+    parts = int(runs_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = units.repartition(parts, "run", "x", "y").sortWithinPartitions("run", "x", "y", "fp")
+
+    def run(batches):
+        store, parent, rows_, kinds = Store(folder), {}, [], [pa.int64()] * 5
+
+        def root(k):
+            while parent.get(k, k) != k:
+                parent[k] = parent.get(parent[k], parent[k])
+                k = parent[k]
+            return k
+
+        def compare():
+            _, x, y, own, fp, n, pos, label, file, at = (list(c) for c in zip(*rows_, strict=True))
+            n_, pos_, own_ = np.array(n), np.array(pos), np.array(own)
+            roots = np.array([root(v) for v in label])
+            for i in range(len(rows_) - 1):
+                rest = np.arange(i + 1, len(rows_))
+                if x[i] != y[i]:
+                    rest = rest[own_[rest] != own[i]]
+                rest = rest[(roots[rest] != roots[i]) & linkable(n_[i], pos_[i], n_[rest], pos_[rest])]
+                if not len(rest):
+                    continue
+                probe = store.get(file[i], at[i], n[i])
+                while len(rest):
+                    now, rest = rest[:TRIE_BATCH], rest[TRIE_BATCH:]
+                    merged = False
+                    for j, overlap in zip(now.tolist(), trie_join(probe, [store.get(file[j], at[j], n[j]) for j in now.tolist()]), strict=True):
+                        if overlap >= 0 and root(label[i]) != root(label[j]):
+                            parent[root(label[j])] = root(label[i])
+                            merged = True
+                            yield min(fp[i], fp[j]), max(fp[i], fp[j]), overlap, *((n[i], n[j]) if fp[i] < fp[j] else (n[j], n[i]))
+                    if merged:
+                        roots = np.array([root(v) for v in label])
+                        rest = rest[roots[rest] != roots[i]]
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 5, kinds, strict=True)], names=["a", "b", "overlap", "n_a", "n_b"])
+
+        for batch in batches:
+            found: list[tuple] = []
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if rows_ and rows_[-1][:3] != r[:3]:
+                    found += compare()
+                    rows_.clear()
+                rows_.append(r)
+            yield out(found)
+        if rows_:
+            yield out(list(compare()))
+        store.close()
+
+    return units.mapInArrow(run, "a long, b long, overlap long, n_a long, n_b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in a link: the label is the smallest node of its component.
 
@@ -405,11 +471,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Joi
     entries = met.where("run IS NOT NULL").select("run", F.col("a").alias("fp"), "n", "pos")
     placed = entries.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("run", "fp", "n", "pos", F.coalesce("label", "fp").alias("label"))
     placed = shared.written(placed, "placed")
-    open_ = placed.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run")
-    left = placed.join(open_, "run")
-    across = left.alias("s").join(left.alias("t"), (F.col("s.run") == F.col("t.run")) & (F.col("s.label") < F.col("t.label")) & _linkable("s", "t"))
-    more = across.select(F.least("s.fp", "t.fp").alias("a"), F.greatest("s.fp", "t.fp").alias("b")).distinct()
-    more = shared.written(verified(more, classes, folder), "links")
+    more = shared.written(across(placed, classes, folder), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)

@@ -75,9 +75,10 @@ def test_matches_brute_force(documents, odd, copies):
     assert got(jaccard.join(docs).by_document()) == brute([tuple(r) for r in docs.collect()])
 
 
-def test_small_buckets_and_one_pivot(copies, monkeypatch):
+def test_small_buckets_chunks_and_one_pivot(copies, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET_ENTRIES", 500)
     monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "RUN_CHUNK", 20)
     assert got(jaccard.join(copies).by_document()) == brute([tuple(r) for r in copies.collect()])
 
 
