@@ -36,7 +36,7 @@ PIVOTS = 3
 #: Counters of the sketch; a slice of them is a row when tasks' counts are added.
 SKETCH, SLICE = 1 << 21, 1 << 16
 #: Prefix entries that a bucket is meant to hold.
-BUCKET_ENTRIES = 400_000
+BUCKET_ENTRIES = 2_000_000
 #: Sets of a run that a unit of comparison takes from it, twice at most; and those put in a trie at once there.
 RUN_CHUNK, TRIE_BATCH = 1000, 32
 #: Tasks over which the comparisons with one set are dealt.
