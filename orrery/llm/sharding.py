@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from orrery.llm.shared import table, written
 
 SHARDS = 8
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 20_000
 SEED = 20240611
 #: numpy's generator takes populations below this.
 _NUMPY_MOST = 1_000_000_000
