@@ -14,11 +14,13 @@
     which is the depth-first order of their trie; going down, the overlap with the one set is counted
     once for shingles shared with the previous branch, and a subtree is left when the overlap so far
     and the remaining lengths cannot reach what a link needs.
+5.  Every link lies in one component. To count all of them, a component's sets are dealt into chunks, and
+    each pair of chunks gives its sets' links by a product of incidence matrices; only sums by set leave it.
 
 Words are `[^\\x20\\x09-\\x0D]+` after A-Z is lower-cased; fewer than five words are one shingle; texts
 that are null or have no words have no set and link with nothing. Sets link when 4 |A and B| >= 3 |A or B|.
-A component is named by its smallest doc_id; null ids are joined too, and name nothing. Repeated rows
-are copies. Only the id and text columns are read, so other columns may have any names.
+A class of equal sets and a component are named by their smallest doc_id; null ids are joined too, and
+name nothing. Repeated rows are copies. A document's links are all other rows whose sets link with its own. Only the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ SKETCH, SLICE = 1 << 21, 1 << 16
 BUCKET_ENTRIES = 2_000_000
 #: Sets of a run that a unit of comparison takes from it, twice at most; and those put in a trie at once there.
 RUN_CHUNK, TRIE_BATCH = 1000, 32
+#: Sets and shingles of a component that a chunk holds when links are counted, twice at most; and numbers expanded at once there.
+COUNT_CHUNK, COUNT_SHINGLES, COUNT_STEP = 200, 400_000, 1 << 21
 #: Tasks over which the comparisons with one set are dealt.
 SALTS = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -433,11 +437,108 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of xs shares with each of ys. Common shingles go through a dense product, the others pair by pair."""
+
+    def flat(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (tx, ox), (ty, oy) = flat(xs), flat(ys)
+    token = np.intersect1d(tx, ty)
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    if not len(token):
+        return out
+
+    def met(t, o):
+        at = np.minimum(np.searchsorted(token, t), len(token) - 1)
+        keep = token[at] == t
+        at, o = at[keep], o[keep]
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        return at, o[order], np.searchsorted(at, np.arange(len(token) + 1))
+
+    (ax, ox, fx), (ay, oy, fy) = met(tx, ox), met(ty, oy)
+    many = np.diff(fx) * np.diff(fy)
+    common = np.flatnonzero(100 * many > out.size)
+    for a in range(0, len(common), 2048):
+        part = common[a : a + 2048]
+        place = np.full(len(token), -1)
+        place[part] = np.arange(len(part))
+        left, right = np.zeros((len(xs), len(part)), np.float32), np.zeros((len(ys), len(part)), np.float32)  # sums to 2,048 are exact
+        for m, at, o in ((left, ax, ox), (right, ay, oy)):
+            k = place[at]
+            m[o[k >= 0], k[k >= 0]] = 1
+        out += (left @ right.T).astype(np.int64)
+    i = np.flatnonzero(100 * many[ax] <= out.size)
+    times = np.diff(fy)[ax[i]]
+    ends = np.cumsum(times)
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + COUNT_STEP, side="right")))
+        t = times[a:b]
+        nth = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        y = oy[np.repeat(fy[ax[i[a:b]]], t) + nth]
+        out += np.bincount(np.repeat(ox[i[a:b]], t) * len(ys) + y, minlength=out.size).reshape(out.shape)
+        a = b
+    return out
+
+
+def link_counts(groups: DataFrame, folder: str) -> DataFrame:
+    """All links within components, counted: rows of (label, fp, n, file, at, copies) in, (fp, sets, docs) out.
+
+    `sets` is how many other sets link with a set, `docs` how many documents have one of those. Each pair
+    of a component's sets is in exactly one unit, a pair of chunks, so that nothing is counted twice.
+    """
+    many = groups.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    many = many.select("label", F.greatest(F.ceil(F.col("c") / COUNT_CHUNK), F.least("c", F.ceil(F.col("s") / COUNT_SHINGLES))).cast("int").alias("k"))
+    rows = groups.join(many, "label").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    units = rows.select("label", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "fp", "file", "at", "n", "copies")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = units.repartition(parts, "label", "x", "y").sortWithinPartitions("label", "x", "y", "fp")
+
+    def run(batches):
+        store, rows_, kinds = Store(folder), [], [pa.int64()] * 3
+
+        def count():
+            _, x, y, *_ = rows_[0]
+            left = [r for r in rows_ if r[3] == x]
+            right = [r for r in rows_ if r[3] == y]
+            if not left or not right or len(rows_) == 1:
+                return
+            xs = [store.get(r[5], r[6], r[7]) for r in left]
+            ys = xs if x == y else [store.get(r[5], r[6], r[7]) for r in right]
+            link = 7 * overlaps(xs, ys) >= 3 * np.add.outer([len(s) for s in xs], [len(s) for s in ys])
+            if x == y:
+                np.fill_diagonal(link, False)
+            for side, other, m in [(left, right, link), (right, left, link.T)][: 1 if x == y else 2]:
+                for r, sets, docs in zip(side, m.sum(axis=1).tolist(), (m @ np.array([r[8] for r in other])).tolist(), strict=True):
+                    if sets:
+                        yield r[4], sets, docs
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 3, kinds, strict=True)], names=["fp", "sets", "docs"])
+
+        for batch in batches:
+            found: list[tuple] = []
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if rows_ and rows_[-1][:3] != r[:3]:
+                    found += count()
+                    rows_.clear()
+                rows_.append(r)
+            yield out(found)
+        if rows_:
+            yield out(list(count()))
+        store.close()
+
+    return units.mapInArrow(run, "fp long, sets long, docs long").groupBy("fp").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
+
+
 class Joined:
-    """members: doc_id, n, fp of all rows; classes: one row per distinct set; links: verified pairs of classes that join the components; labels: fp and component of linked classes."""
+    """members: doc_id, n, fp of all rows; classes: one row per distinct set, in files of the folder; links: verified pairs of classes that join the components; labels: fp and component of linked classes."""
 
-    def __init__(self, members: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame):
-        self.members, self.classes, self.links, self.labels = members, classes, links, labels
+    def __init__(self, members: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, folder: str):
+        self.members, self.classes, self.links, self.labels, self.folder = members, classes, links, labels, folder
 
     def placed(self) -> DataFrame:
         """doc_id, n, fp and label (the component's smallest fingerprint) of all rows with words."""
@@ -445,13 +546,17 @@ class Joined:
         return rows.select("doc_id", "n", "fp", F.coalesce("label", "fp").alias("label"))
 
     def by_document(self) -> DataFrame:
-        """doc_id, n_shingles, component_id."""
-        smallest = self.members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("own"))
-        sets = smallest.join(self.labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "own", F.coalesce("label", "fp").alias("label"))
-        named = sets.groupBy("label").agg(F.min("own").alias("component_id"))
-        by_set = sets.join(named, "label").select("fp", "component_id")
+        """doc_id, n_shingles, class_id, component_id, n_links."""
+        own = self.members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+        sets = shared.written(own.join(self.labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "class_id", "copies", "label"), "named")
+        groups = sets.where("label IS NOT NULL").select("fp", "label", "copies").join(self.classes, "fp")
+        counts = link_counts(groups.select("label", "fp", "n", "file", "at", "copies"), self.folder)
+        sets = sets.withColumn("label", F.coalesce("label", "fp"))
+        named = sets.groupBy("label").agg(F.min("class_id").alias("component_id"))
+        by_set = sets.join(named, "label").join(counts, "fp", "left").select("fp", "class_id", "component_id", (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"))
         rows = self.members.join(by_set, "fp", "left")
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        some = F.col("n") > 0
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), *[F.when(some, F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("class_id", "component_id")], F.when(some, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Joined:
@@ -475,7 +580,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Joi
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-    return Joined(members, classes, links, labels)
+    return Joined(members, classes, links, labels, folder)
 
 
 def _fingerprinted(docs: DataFrame, text_col: str) -> DataFrame:

@@ -82,6 +82,28 @@ def test_small_buckets_chunks_and_one_pivot(copies, monkeypatch):
     assert got(jaccard.join(copies).by_document()) == brute([tuple(r) for r in copies.collect()])
 
 
+def test_counts_every_link(odd, copies, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNT_CHUNK", 20)
+    monkeypatch.setattr(jaccard, "COUNT_STEP", 500)
+    docs = odd.select("doc_id", "text").union(copies)
+    rows = [tuple(r) for r in docs.collect()]
+    sets = [shingle_set(t) for _, t in rows]
+    want = []
+    for k, (doc, _) in enumerate(rows):
+        same = [d for (d, _), s in zip(rows, sets, strict=True) if s == sets[k] and d is not None]
+        links = sum(j != k and 4 * len(s & sets[k]) >= 3 * len(s | sets[k]) for j, s in enumerate(sets)) if sets[k] else 0
+        want.append((doc, min(same, default=None) if sets[k] else doc, links))
+    assert max(links for _, _, links in want) > 4 * jaccard.COUNT_CHUNK
+    got_ = [(r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs).by_document().collect()]
+    assert sorted(got_, key=str) == sorted(want, key=str)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    xs, ys = ([np.unique(np.concatenate([rng.integers(0, 60, 30), rng.integers(0, 3000, 40)]).astype(np.uint64)) for _ in range(k)] for k in (30, 45))
+    assert jaccard.overlaps(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+
+
 def test_trie_join():
     rng = np.random.default_rng(2)
     for _ in range(60):
