@@ -29,13 +29,17 @@ def snapshot_diff_orders(spark, d):
     return diff.snapshot(_statuses(spark, d, False), _statuses(spark, d, True), ["o_custkey"], ["status"])
 
 
-def _state(spark, d, odd: int):
+def _symbols(spark, d, odd: int, file, name):
     docs = read(spark, d, "documents").where((F.col("doc_id") % 2 == odd) & F.col("text").isNotNull())
     lines = F.split("text", "\n")
     return docs.select(
-        F.col("source").alias("file"), F.md5(F.substring("text", 1, 12)).alias("name"), F.col("doc_id").alias("line"), F.md5(lines[0]).alias("h_statement"), F.md5("text").alias("h_body"),
+        file.alias("file"), name.alias("name"), F.col("doc_id").alias("line"), F.md5(lines[0]).alias("h_statement"), F.md5("text").alias("h_body"),
         F.size(lines).alias("n_body_lines"), F.col("text").contains("token").alias("hole"), F.col("text").contains("License").alias("is_axiom"),
-    ).withColumn("_r", F.row_number().over(Window.partitionBy("file", "name").orderBy("line"))).where("_r = 1").drop("_r")
+    )
+
+
+def _state(spark, d, odd: int):
+    return _symbols(spark, d, odd, F.col("source"), F.md5(F.substring("text", 1, 12))).withColumn("_r", F.row_number().over(Window.partitionBy("file", "name").orderBy("line"))).where("_r = 1").drop("_r")
 
 
 def _state_sql(odd: int) -> str:
@@ -57,6 +61,30 @@ def observations_diff(spark, d):
     return diff.observations(_state(spark, d, 0), _state(spark, d, 1))
 
 
+def _whole_state(spark, d, odd: int):
+    return _symbols(spark, d, odd, F.lit("documents"), F.expr("CAST(doc_id div 2 AS string)"))
+
+
+def _whole_state_sql(odd: int) -> str:
+    return f"SELECT 'documents' AS file, CAST(doc_id // 2 AS VARCHAR) AS name, doc_id AS line, md5(string_split(text, chr(10))[1]) AS hs, md5(text) AS hb, len(string_split(text, chr(10))) AS nl, contains(text, 'token') AS hole, contains(text, 'License') AS ax FROM documents WHERE doc_id % 2 = {odd} AND text IS NOT NULL"
+
+
+#: observations_diff names a document by its opening and keeps one of each; here every document is a symbol, and
+#: ids 2 k and 2 k + 1 are one in the two states. Sources are left out of the key: in the tables they differ within each pair.
+@query("observations_diff_whole", f"""
+WITH a AS ({_whole_state_sql(0)}), b AS ({_whole_state_sql(1)}), f AS (SELECT coalesce(a.file, b.file) AS file, coalesce(a.name, b.name) AS name, coalesce(b.line, a.line) AS line, a.hs AS ahs, b.hs AS bhs, a.hb AS ahb, b.hb AS bhb, a.nl AS anl, b.nl AS bnl, a.hole AS ah, b.hole AS bh, b.ax AS bax FROM a FULL JOIN b ON a.file = b.file AND a.name = b.name)
+SELECT 'enonce_change' AS kind, file, name, line, 10 AS salience FROM f WHERE ahs <> bhs
+UNION ALL SELECT 'effondrement_preuve', file, name, line, 9 FROM f WHERE ahs <> bhs AND anl >= 5 AND bnl <= 2
+UNION ALL SELECT 'corps_change', file, name, line, 1 FROM f WHERE ahs = bhs AND ahb <> bhb
+UNION ALL SELECT 'nouveau_sorry', file, name, line, 8 FROM f WHERE (ahs IS NOT NULL AND bh AND NOT ah) OR (ahs IS NULL AND NOT bax AND bh)
+UNION ALL SELECT 'nouvel_axiome', file, name, line, 9 FROM f WHERE ahs IS NULL AND bax
+UNION ALL SELECT 'symbole_gagne', file, name, line, 1 FROM f WHERE ahs IS NULL AND NOT bax AND NOT bh
+UNION ALL SELECT 'symbole_perdu', file, name, line, 5 FROM f WHERE bhs IS NULL
+UNION ALL SELECT 'doublon', string_agg(DISTINCT file, ', ' ORDER BY file), name, min(line), 8 FROM b GROUP BY name HAVING count(DISTINCT file) >= 2""")
+def observations_diff_whole(spark, d):
+    return diff.observations(_whole_state(spark, d, 0), _whole_state(spark, d, 1))
+
+
 @query("rename_match")
 def rename_match(spark, d):
     part = read(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_partkey").alias("line"))
