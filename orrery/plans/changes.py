@@ -300,6 +300,23 @@ def backward_dependants(spark, d):
     return graph.reach(e, e.where("dst % 50 = 7").select("dst"), 3, backward=True).select("origin", "node", "depth")
 
 
+#: From every node, as deep as the reference goes; impact_depth and backward_dependants start from a part of the nodes.
+@query("impact_depth_whole", f"""
+WITH RECURSIVE e AS ({CHAIN}), w(origin, node, depth) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT origin, dst, depth + 1 FROM w JOIN e ON node = src WHERE depth < 10)
+SELECT origin, node, min(depth) AS depth FROM w WHERE node <> origin GROUP BY 1, 2""")
+def impact_depth_whole(spark, d):
+    e = _steps(spark, d)
+    return graph.reach(e, e.select("src")).select("origin", "node", "depth")
+
+
+@query("backward_dependants_whole", f"""
+WITH RECURSIVE e AS ({CHAIN}), w(origin, node, depth) AS (SELECT DISTINCT dst, dst, 0 FROM e UNION SELECT origin, src, depth + 1 FROM w JOIN e ON node = dst WHERE depth < 10)
+SELECT origin, node, min(depth) AS depth FROM w WHERE node <> origin GROUP BY 1, 2""")
+def backward_dependants_whole(spark, d):
+    e = _steps(spark, d)
+    return graph.reach(e, e.select("dst"), backward=True).select("origin", "node", "depth")
+
+
 LAYERED = "SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT DISTINCT 'c' || o_custkey, 'p' || substr(o_orderpriority, 1, 1) FROM orders"
 
 

@@ -35,3 +35,10 @@ def test_observations_diff_compares_every_document(spark, duck):
     assert sum(s.count() for s in states) == duck.sql("SELECT count(*) FROM documents WHERE text IS NOT NULL").fetchall()[0][0]
     assert states[0].join(states[1], ["file", "name"]).count() == duck.sql("SELECT count(*) FROM documents a JOIN documents b ON a.doc_id + 1 = b.doc_id AND a.doc_id % 2 = 0").fetchall()[0][0]
     assert "enonce_change" in set(got["kind"])
+
+
+@pytest.mark.parametrize("name, start", [("impact_depth_whole", "src"), ("backward_dependants_whole", "dst")])
+def test_reach_starts_everywhere_and_goes_ten_deep(spark, duck, name, start):
+    got = same(spark, duck, name)
+    assert set(got["origin"]) == {r[0] for r in duck.sql(f"SELECT DISTINCT {start} FROM ({changes.CHAIN})").fetchall()}
+    assert got["depth"].max() == 10
