@@ -268,13 +268,24 @@ NATIONS = "e AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineite
 WITH e AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey AND o_custkey % 5 = 0),
 u AS (SELECT a AS grp, 0 AS ca, 1 AS ce FROM e UNION ALL SELECT b, 1, 0 FROM e) SELECT grp, CAST(sum(ca) AS BIGINT) AS ca, CAST(sum(ce) AS BIGINT) AS ce, round(sum(ce) / (sum(ca) + sum(ce)), 6) AS instability FROM u GROUP BY 1""")
 def coupling_instability(spark, d):
+    return _coupling(spark, d, read(spark, d, "orders").where("o_custkey % 5 = 0"))
+
+
+def _coupling(spark, d, o):
     c, s = read(spark, d, "customer"), read(spark, d, "supplier")
-    o = read(spark, d, "orders").where("o_custkey % 5 = 0")
     edges = read(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
     group = s.select(F.concat(F.lit("s"), "s_suppkey").alias("n"), F.col("s_nationkey").alias("g")).union(c.select(F.concat(F.lit("c"), "c_custkey"), "c_nationkey"))
     return graph.coupling(edges, group, "n", "g").withColumn("instability", F.round("instability", 6))
 
 
+#: coupling_instability has the trade of every fifth customer, this of all.
+@query("coupling_instability_whole", f"""
+WITH {NATIONS}, u AS (SELECT a AS grp, 0 AS ca, 1 AS ce FROM e WHERE a <> b UNION ALL SELECT b, 1, 0 FROM e WHERE a <> b)
+SELECT grp, CAST(sum(ca) AS BIGINT) AS ca, CAST(sum(ce) AS BIGINT) AS ce, round(sum(ce) / (sum(ca) + sum(ce)), 6) AS instability FROM u GROUP BY 1""")
+def coupling_instability_whole(spark, d):
+    return _coupling(spark, d, read(spark, d, "orders"))
+
+
 CHAIN = "SELECT DISTINCT o_custkey AS src, o_custkey + 1 + o_orderkey % 3 AS dst FROM orders WHERE o_custkey + 1 + o_orderkey % 3 <= (SELECT max(o_custkey) FROM orders)"
 
 

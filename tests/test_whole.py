@@ -42,3 +42,8 @@ def test_reach_starts_everywhere_and_goes_ten_deep(spark, duck, name, start):
     got = same(spark, duck, name)
     assert set(got["origin"]) == {r[0] for r in duck.sql(f"SELECT DISTINCT {start} FROM ({changes.CHAIN})").fetchall()}
     assert got["depth"].max() == 10
+
+
+def test_coupling_has_every_pair_of_nations(spark, duck):
+    got = same(spark, duck, "coupling_instability_whole")
+    assert got["ce"].sum() == got["ca"].sum() == duck.sql(f"WITH {changes.NATIONS} SELECT count(*) FROM e WHERE a <> b").fetchall()[0][0]
