@@ -117,8 +117,11 @@ def routes(edges: DataFrame, sources: DataFrame, forbidden: DataFrame | None = N
     raise ValueError("the graph has a cycle or a route longer than the bound")
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, keep_every: int = 5) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; ranks flow along edges, and what ends at nodes without edges is spread evenly."""
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = None, keep_every: int = 5, tol: float = 1e-8, most: int = 200) -> DataFrame:
+    """(node, rank); ranks flow along edges, and what ends at nodes without edges is spread evenly.
+
+    Rounds go on until the ranks' absolute changes sum to less than `tol`, `most` at most; or `rounds` of them without that test.
+    """
     e = edges.select("src", "dst").distinct()
     e = e.join(e.groupBy("src").agg(F.count("*").alias("_out")), "src")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
@@ -126,13 +129,17 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, keep_every
     sinks = _kept(sinks, "nodes")
     n = sinks.count()
     ranks = sinks.select("node", "sink", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for k in range(rounds):
+    for k in range(most if rounds is None else rounds):
         lost = F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)), F.lit(0.0))
         spread = ranks.agg(lost.alias("_lost"))  # one row
         got = ranks.join(e, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("_out")).alias("_in"))
-        ranks = sinks.join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(spread)).select("node", "sink", ((1 - alpha) / n + alpha * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / n)).alias("rank"))
-        if (k + 1) % keep_every == 0:
+        before, ranks = ranks, sinks.join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(spread)).select("node", "sink", ((1 - alpha) / n + alpha * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / n)).alias("rank"))
+        if rounds is None or (k + 1) % keep_every == 0:
             ranks = _kept(ranks, "ranks")
+        if rounds is None:
+            change = ranks.join(before.select("node", F.col("rank").alias("_before")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("_before")))).first()[0]
+            if (change or 0.0) < tol:
+                break
     return ranks.select("node", "rank")
 
 

@@ -47,3 +47,23 @@ def test_reach_starts_everywhere_and_goes_ten_deep(spark, duck, name, start):
 def test_coupling_has_every_pair_of_nations(spark, duck):
     got = same(spark, duck, "coupling_instability_whole")
     assert got["ce"].sum() == got["ca"].sum() == duck.sql(f"WITH {changes.NATIONS} SELECT count(*) FROM e WHERE a <> b").fetchall()[0][0]
+
+
+def test_pagerank_goes_on_to_the_tolerance(spark):
+    pairs = [(k, k + 1) for k in range(12)] + [(12, 0), (3, 0), (7, 20), (0, 5)]
+    nodes = sorted({x for p in pairs for x in p})
+    out = {v: [b for a, b in pairs if a == v] for v in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for k in range(1, 201):
+        lost = sum(rank[v] for v in nodes if not out[v])
+        now = {v: 0.15 / len(nodes) + 0.85 * (sum(rank[a] / len(out[a]) for a, b in pairs if b == v) + lost / len(nodes)) for v in nodes}
+        change, rank = sum(abs(now[v] - rank[v]) for v in nodes), now
+        if change < 1e-8:
+            break
+    assert 20 < k < 200
+    got = {r.node: r.rank for r in graph.pagerank(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == pytest.approx(rank, abs=1e-12)
+
+
+def test_diffusion_takes_eight_steps(spark, duck):
+    same(spark, duck, "diffuse_density_whole")
