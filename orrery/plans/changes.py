@@ -108,6 +108,15 @@ def manifest_delta(spark, d):
     return diff.manifest_delta(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1 AND doc_id % 7 <> 0"), "path", "h")
 
 
+#: manifest_delta leaves every seventh later document out, this none.
+@query("manifest_delta_whole", """
+WITH a AS (SELECT doc_id // 2 AS path, md5(text) AS h FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id // 2 AS path, md5(text) AS h FROM documents WHERE doc_id % 2 = 1)
+SELECT coalesce(a.path, b.path) AS path, a.h AS before_h, b.h AS after_h, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.h IS DISTINCT FROM b.h THEN 'modified' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.path = b.path""")
+def manifest_delta_whole(spark, d):
+    docs = read(spark, d, "documents").select(F.expr("doc_id div 2").alias("path"), F.md5("text").alias("h"), "doc_id")
+    return diff.manifest_delta(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "path", "h")
+
+
 @query("drift_topk", f"""
 WITH a AS (SELECT o_custkey, round(avg(o_totalprice), 2) AS v FROM orders WHERE o_orderdate < {CUT} GROUP BY 1), b AS (SELECT o_custkey, round(avg(o_totalprice), 2) AS v FROM orders WHERE o_orderdate >= {CUT} GROUP BY 1)
 SELECT a.o_custkey, a.v AS before, b.v AS after, round(b.v - a.v, 2) AS delta FROM a JOIN b ON a.o_custkey = b.o_custkey ORDER BY abs(b.v - a.v) DESC, a.o_custkey LIMIT 12""")

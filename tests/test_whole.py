@@ -67,3 +67,14 @@ def test_pagerank_goes_on_to_the_tolerance(spark):
 
 def test_diffusion_takes_eight_steps(spark, duck):
     same(spark, duck, "diffuse_density_whole")
+
+
+def test_manifest_delta_compares_every_document(spark, duck):
+    got = same(spark, duck, "manifest_delta_whole")
+    assert got["before_h"].notna().sum() + got["after_h"].notna().sum() == duck.sql("SELECT count(text) FROM documents").fetchall()[0][0]
+
+
+def test_manifest_delta_tells_removed_and_added(spark):
+    before, after = (spark.createDataFrame(r, "path long, h string") for r in ([(1, "a"), (2, "b"), (3, "c")], [(2, "b"), (3, "x"), (4, "d")]))
+    got = {r.path: r.change for r in changes.diff.manifest_delta(before, after, "path", "h").collect()}
+    assert got == {1: "removed", 2: "unchanged", 3: "modified", 4: "added"}
