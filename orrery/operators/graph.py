@@ -6,6 +6,7 @@ ended by an empty frontier; what comes to the driver is whether a frontier is em
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -83,16 +84,21 @@ def reach(edges: DataFrame, sources: DataFrame, depth: int = 10, backward: bool
     return out.join(cut, "origin")
 
 
-def levels(edges: DataFrame, nodes: DataFrame | None = None, most: int = 1000) -> DataFrame:
-    """(node, level) by peeling nodes without incoming edges; nodes on or behind a cycle get level null."""
+def levels(edges: DataFrame, nodes: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(node, level) by peeling nodes without incoming edges; nodes on or behind a cycle get level null.
+
+    It ends when no free node is left; with more than `most` levels, where that is given, it raises.
+    """
     e = edges.select("src", "dst").where("src <> dst").distinct()
     left = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct() if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
     out = None
     left = _kept(left, "left")
-    for k in range(most):
+    for k in itertools.count():
         free = _kept(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(k)), "free")
         if free.isEmpty():
             break
+        if k == most:
+            raise ValueError("the graph has more levels than the bound")
         out = free if out is None else out.unionByName(free)
         left = _kept(left.join(free.select("node"), "node", "left_anti"), "left")
         e = _kept(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "edges")

@@ -78,3 +78,10 @@ def test_manifest_delta_tells_removed_and_added(spark):
     before, after = (spark.createDataFrame(r, "path long, h string") for r in ([(1, "a"), (2, "b"), (3, "c")], [(2, "b"), (3, "x"), (4, "d")]))
     got = {r.path: r.change for r in changes.diff.manifest_delta(before, after, "path", "h").collect()}
     assert got == {1: "removed", 2: "unchanged", 3: "modified", 4: "added"}
+
+
+def test_levels_beyond_the_bound_are_not_taken_for_a_cycle(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(5)], "src long, dst long")
+    assert {r.node: r.level for r in graph.levels(chain, most=6).collect()} == {k: k for k in range(6)}
+    with pytest.raises(ValueError, match="more levels"):
+        graph.levels(chain, most=3)
