@@ -485,7 +485,7 @@ def symbol_rank_search(spark, d):
 def budgeted_chains(spark, d):
     n = read(spark, d, "nation")
     links = n.alias("a").join(n.alias("b"), (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") != F.col("b.n_nationkey"))).select(F.col("a.n_nationkey").alias("src"), F.col("b.n_nationkey").alias("dst"))
-    out = retrieve.chains(n.withColumn("cost", F.length("n_name").cast("double")), links, "n_nationkey", "cost", 3, 60.0, 200, 20)
+    out = retrieve.chains(n.withColumn("cost", F.length("n_name").cast("double")), links, "n_nationkey", "cost", 3, 60.0, 20_000, 20)
     return out.withColumn("chain", F.array_join(F.col("chain").cast("array<string>"), ">"))
 
 

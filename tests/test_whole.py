@@ -85,3 +85,7 @@ def test_levels_beyond_the_bound_are_not_taken_for_a_cycle(spark):
     assert {r.node: r.level for r in graph.levels(chain, most=6).collect()} == {k: k for k in range(6)}
     with pytest.raises(ValueError, match="more levels"):
         graph.levels(chain, most=3)
+
+
+def test_chains_are_not_cut(spark):
+    assert not any(r.truncated for r in catalogue.QUERIES["budgeted_chains"](spark, SF).collect())
