@@ -2,10 +2,14 @@
 
 Texts stay as the UTF-8 bytes of the Arrow buffer. All word patterns used here separate
 words by ASCII characters alone, so byte classes decide exactly what a code-point pattern would.
+
+A word's hash takes its bytes eight at a time through two states that each step mixes without a
+linear rule, so that no pattern of letters makes hashes equal; words beyond LONG bytes go through BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +17,8 @@ import pyarrow as pa
 
 #: Bytes of text that one vectorised step handles; a longer document makes a longer step.
 BLOCK_BYTES = 4 << 20
-#: Bytes over which one run of position powers reaches; words are hashed in groups of this span.
-SPAN = 1 << 20
+#: Bytes from which a word is hashed on its own.
+LONG = 512
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -27,18 +31,9 @@ PUNCT = np.zeros(256, bool)
 for _a, _b in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
     PUNCT[_a : _b + 1] = True
 
-_R = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
-_R_INV = pow(_R, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        m = max(n, SPAN + (1 << 16))
-        _powers[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(m - 1, r, np.uint64))]) for r in (_R, _R_INV)]
-    return _powers[0], _powers[1]
+_SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, 3, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -94,17 +89,25 @@ def word_ranges(low: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tup
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; starts ascend and ranges do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        lo = int(starts[a])
-        b = max(a + 1, int(np.searchsorted(starts, lo + SPAN)))
-        hi = int(stops[b - 1])
-        p, q = powers(hi - lo + 1)
-        s = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * p[: hi - lo], out=s[1:])
-        i, j = starts[a:b] - lo, stops[a:b] - lo
-        out[a:b] = mix((s[j] - s[i]) * q[i] + (j - i).astype(np.uint64))
-        a = b
+    """A 64-bit hash of each byte range."""
+    sizes = (stops - starts).astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))  # those from each byte on
+    a = sizes.astype(np.uint64) * _ODD ^ _SEEDS[0]
+    b = a + _SEEDS[1]
+    at, left, live = starts, sizes, slice(None)
+    if (sizes > LONG).any():
+        live = np.flatnonzero(sizes <= LONG)
+        at, left = starts[live], sizes[live]
+    while len(at):
+        chunk = eight[at] & _FIRST[np.minimum(left, 8)]
+        a[live] = mix(a[live] ^ chunk)
+        b[live] = mix(b[live] + chunk * _ODD) ^ _SEEDS[2]
+        more = np.flatnonzero(left > 8)
+        at, left = at[more] + 8, left[more] - 8
+        live = more if isinstance(live, slice) else live[more]
+    out = mix(a + (b << np.uint64(32) | b >> np.uint64(32)))
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : stops[k]].tobytes(), digest_size=8).digest(), "little")
     return out

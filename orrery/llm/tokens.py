@@ -2,7 +2,7 @@
 
 A text is cut only where every pre-tokenizer in use ends a pre-token whatever stands on
 either side: before a single space, around a single line feed, and between a letter and a
-punctuation mark. Pieces are then encoded by the library, and repeated pieces are looked up.
+punctuation mark. Pieces are then encoded by the library; repeated pieces are looked up by their bytes.
 """
 
 from __future__ import annotations
@@ -13,10 +13,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from orrery.llm.textbytes import range_hashes
-
-#: Ids that the lookup holds before it starts anew.
-CACHE_IDS = 6_000_000
+#: Ids and bytes of pieces that the lookup holds before it starts anew.
+CACHE_IDS, CACHE_BYTES = 6_000_000, 24_000_000
 
 _PRINTS = np.zeros(256, bool)
 _PRINTS[0x21:0x7F] = True
@@ -56,7 +54,7 @@ def cut_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Encodes rows of UTF-8 bytes; holds at most CACHE_IDS ids of known pieces and those of one block."""
+    """Encodes rows of UTF-8 bytes; holds at most CACHE_IDS ids and CACHE_BYTES bytes of known pieces and those of one block."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,38 +64,37 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.slots: dict[str, int] = {}
+        self.ids, self.starts, self.held = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
 
-    def _learn(self, raw: np.ndarray, bounds: np.ndarray, new: np.ndarray, hashes: np.ndarray) -> None:
-        """Encode the pieces numbered `new` of those between bounds; hashes ascend."""
-        tiles = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw)))
-        pieces = tiles.take(pa.array(new)).to_pylist()
+    def _learn(self, pieces: list[str]) -> None:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter((i for x in encoded for i in x), np.uint32, int(sizes.sum()))
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.slots = np.insert(self.slots, at, len(self.starts) - 1 + np.arange(len(hashes)))
+        self.slots.update(zip(pieces, range(len(self.starts) - 1, len(self.starts) - 1 + len(pieces)), strict=True))
+        self.held += sum(map(len, pieces))
         self.ids = np.concatenate([self.ids, flat])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
 
+    def _slots(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The slot of each piece; Arrow's dictionary finds the distinct ones by their bytes."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        bounds = np.append(starts, len(raw)).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        new = [x for x in pieces if x not in self.slots]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
+
     def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and the n+1 offsets of each row's ids; end_id is added to every row."""
         rows = len(off) - 1
-        if len(self.ids) > CACHE_IDS:
+        if len(self.ids) > CACHE_IDS or self.held > CACHE_BYTES:
             self._clear()
         starts = cut_starts(raw, off)
-        stops = np.append(starts[1:], len(raw)).astype(np.int64)
-        found, first, inverse = np.unique(range_hashes(raw, starts, stops), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, found)
-        known = np.zeros(len(found), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == found[inside]
-        if not known.all():
-            self._learn(raw, np.append(starts, len(raw)).astype(np.int64), first[~known], found[~known])
-            at = np.searchsorted(self.hashes, found)
-        slot = self.slots[at][inverse] if len(found) else np.zeros(0, np.int64)
+        slot = self._slots(raw, starts)
         sizes = self.starts[slot + 1] - self.starts[slot]
         row = np.searchsorted(starts, off)
         total = np.concatenate([[0], np.cumsum(sizes)])
