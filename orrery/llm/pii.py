@@ -12,7 +12,7 @@ The base kinds give the leftmost, non-overlapping matches of
 and a match that fails its test is dropped and its text consumed. Added kinds: url (http, https,
 ftp and mailto schemes), iban (after its cue, with its checksum), key (values after password, token,
 secret and api_key cues, and access key ids). Null text is empty and has no spans. Positions are code
-points, ends exclusive. Each row is judged on its own, so repeated rows and null ids need no rule.
+points, ends exclusive. Digit runs of any length are read in one go. Each row is judged on its own, so repeated rows and null ids need no rule.
 """
 
 from __future__ import annotations
@@ -51,6 +51,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _at_most_255(digits: str) -> bool:
+    """Of any number of digits, leading zeros among them."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def iban_valid(text: str) -> bool:
     s = text.replace(" ", "")
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -88,7 +94,7 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, int]]:
                 m = _IP.match(text, p)
                 if m:
                     ip_end = m.end()
-                    if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+                    if all(_at_most_255(x) for x in m[0].split(".")):
                         found.append((1, p, ip_end))
                 else:
                     ip_end = _DIGITS.match(text, p).end()

@@ -2,7 +2,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 
-#: Null and empty texts, ties, repeated rows, white space of all kinds, a very long text, letters beyond ASCII.
+#: Null and empty texts, ties, repeated rows, white space of all kinds, a very long text, very long runs of digits, letters beyond ASCII.
 ODD = [
     (None, "a text without an id, of a few words", "en", "s0"),
     (1, None, "en", "s0"),
@@ -16,6 +16,7 @@ ODD = [
     (8, "### $$$ %%% word *** &&& || <b>", "en", "s0"),
     (9, "mail bob@x.example.com, +1 (555) 555-0100 then 10.0.0.1 then 4111 1111 1111 1111 end", "en", "s0"),
     (10, " ".join(f"w{i % 977}" for i in range(30_000)), "en", "s0"),
+    (12, "0" * 5000 + ".1.1.1 and 1.1.1." + "9" * 5000 + " " + " ".join(f"v{i}" for i in range(60)), "en", "s0"),
     (11, "日本語 テキスト 😀 tab\tand\x0bfeed", None, "s2"),
 ]
 
