@@ -9,24 +9,28 @@ document with a match is contaminated.
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased, and told apart by 64-bit
 hashes. A window has `window` words; an item of fewer, but not none, is one window. Null texts and
 items have no words. Equal item ids count once for a document; a null item id is named null. Each row
-is judged on its own, so ties and repeated rows need no rule. A benchmark is searched in blocks of
-BLOCK_BYTES of text, with one pass over the documents for each; an empty one marks nothing.
+is judged on its own, so ties and repeated rows need no rule. The benchmark is cut into blocks of about
+BLOCK_BYTES of text, each a file of the shared folder, that tasks read one by one: there is one pass over the documents and one
+suffix array for a shard, whatever the benchmark's size, and no task or driver holds more than HELD blocks. An empty one marks nothing.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from orrery.llm import shared
 from orrery.llm.shared import table
 from orrery.llm.textbytes import LOWER, PUNCT, blocks, range_hashes, text_buffer, word_ranges
 
 WINDOW = 10
-#: Text of the benchmark that one pass searches for; the broadcast is a few times this at most.
-BLOCK_BYTES = 8 << 20
+#: Text of the benchmark that one block holds; in memory it is a few times this. A Python worker keeps HELD blocks.
+BLOCK_BYTES, HELD = 8 << 20, 2
 
 
 def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,9 +43,8 @@ def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     """A block of the benchmark: words of all items, and every window of each."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW):
-        self.ids, self.window = ids, window
-        self.hashes, self.rows = words_of(*text_buffer(pa.array(texts, pa.large_string())))
+    def __init__(self, ids: list[str], hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW):
+        self.ids, self.hashes, self.rows = ids, hashes, rows
         item, start, size = [], [], []
         for k, n in enumerate(np.diff(self.rows).tolist()):
             if n:
@@ -177,70 +180,95 @@ def shards(batches: Iterator[pa.RecordBatch], column: int, depth: int):
             yield batch, a, b, np.diff(rows), SuffixArray(hashes, rows, depth)
 
 
-def item_blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> Iterator[Items]:
-    ids, texts, size = [], [], 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["text"])
-        size += len(r["text"] or "") + 16
-        if size >= limit:
-            yield Items(ids, texts, window)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Items(ids, texts, window)
+def write_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[str]:
+    """Blocks of the benchmark's words as files; their names, of which there is one for each `limit` bytes or partition."""
+    spark = benchmark.sparkSession
+    folder = shared.shared_dir(spark, "benchmark")
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text")
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def put():
+            nonlocal held, size
+            rows_ = pa.Table.from_batches(held)
+            file = f"{folder}/{uuid.uuid4().hex}"
+            with shared.open_output(file) as stream:
+                stream.write(pickle.dumps((rows_.column(0).to_pylist(), *words_of(*text_buffer(rows_.column(1))))))
+            held, size = [], 0
+            return pa.RecordBatch.from_pydict({"file": [file]})
+
+        for batch in batches:
+            ends = text_buffer(batch.column(1))[1][1:] + 16 * np.arange(1, batch.num_rows + 1)
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, limit - size + (ends[a - 1] if a else 0), side="right")))
+                held.append(batch.slice(a, b - a))
+                size += int(ends[b - 1] - (ends[a - 1] if a else 0))
+                a = b
+                if size >= limit or a < batch.num_rows:
+                    yield put()
+        if held:
+            yield put()
+
+    return [r["file"] for r in rows.coalesce(int(total // limit) + 1).mapInArrow(run, "file string").collect()]
+
+
+_blocks: dict[tuple[str, int], Items] = {}
+
+
+def blocks_of(files: list[str], window: int) -> Iterator[Items]:
+    """The blocks in turn; those read last stay in the worker's memory."""
+    for file in files:
+        if (file, window) not in _blocks:
+            while len(_blocks) >= HELD:
+                _blocks.pop(next(iter(_blocks)))
+            with shared.open_input(file) as source:
+                _blocks[file, window] = Items(*pickle.loads(source.read()), window)
+        yield _blocks[file, window]
 
 
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("item_word", "doc_word", "n_words")]]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, and matches (item_id, item_word, doc_word, n_words), all longest verbatim matches."""
-    spark = docs.sparkSession
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("matches", MATCH), T.StructField("_row", T.LongType())])
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_words, and matches (item_id, item_word, doc_word, n_words), all longest verbatim matches, in order of their place."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("matches", MATCH)])
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def passing(items):
-        def run(batches):
-            from pyspark import TaskContext
-
-            found, serial = items.value, TaskContext.get().partitionId() << 33
-            for batch, a, b, sizes, shard in shards(batches, 1, found.window):
-                row, item, item_word, doc_word, n = longest(shard, found, *search(shard, found))
-                entries = pa.StructArray.from_arrays([pa.array([found.ids[k] for k in item], pa.string()), *[pa.array(x.astype(np.int64)) for x in (item_word, doc_word, n)]], ["item_id", "item_word", "doc_word", "n_words"])
-                offsets = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), entries), pa.array(serial + np.arange(b - a))], names=["doc_id", "n_words", "matches", "_row"])
-                serial += b - a
-
-        return run
-
-    held = [spark.sparkContext.broadcast(x) for x in item_blocks(benchmark, window)] or [spark.sparkContext.broadcast(Items([], [], window))]
-    passes = [source.mapInArrow(passing(x), schema) for x in held]
-    out = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("_row", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
-    return out.drop("_row")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    files = write_blocks(benchmark, block_bytes)
+
+    def run(batches):
+        for batch, a, b, sizes, shard in shards(batches, 1, window):
+            names: list[str] = []
+            found = [(np.zeros(0, np.int64),) * 5]
+            for items in blocks_of(files, window):
+                row, item, item_word, doc_word, n = longest(shard, items, *search(shard, items))
+                found.append((row, len(names) + np.arange(len(item)), item_word, doc_word, n))
+                names += [items.ids[k] for k in item]
+            row, name, item_word, doc_word, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((item_word, doc_word, row))  # stable: ties stay in order of blocks and items
+            entries = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(name[order])), *[pa.array(x[order].astype(np.int64)) for x in (item_word, doc_word, n)]], ["item_id", "item_word", "doc_word", "n_words"])
+            offsets = np.searchsorted(row[order], np.arange(b - a + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), entries)], names=["doc_id", "n_words", "matches"])
+
+    return source.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a match, with all their columns."""
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
-
-    def passing(items):
-        def run(batches):
-            found = items.value
-            for batch, a, b, _, shard in shards(batches, at, found.window):
-                _, places = search(shard, found)
-                keep = np.ones(b - a, bool)
-                keep[np.searchsorted(shard.starts, places, side="right") - 1] = False
-                yield batch.slice(a, b - a).filter(pa.array(keep))
+    at, files = docs.columns.index(text_col), write_blocks(benchmark, block_bytes)
 
-        return run
+    def run(batches):
+        for batch, a, b, _, shard in shards(batches, at, window):
+            keep = np.ones(b - a, bool)
+            for items in blocks_of(files, window):
+                _, places = search(shard, items)
+                keep[np.searchsorted(shard.starts, places, side="right") - 1] = False
+            yield batch.slice(a, b - a).filter(pa.array(keep))
 
-    for items in item_blocks(benchmark, window):
-        docs = docs.mapInArrow(passing(spark.sparkContext.broadcast(items)), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def hit_words(matches: str = "matches"):

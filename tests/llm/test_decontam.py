@@ -51,12 +51,19 @@ def test_matches_brute_force(documents, odd, benchmark, window):
     assert got == brute([tuple(r) for r in docs.collect()], [tuple(r) for r in benchmark.collect()], window)
 
 
-def test_blocks_of_the_benchmark_give_the_same(documents, benchmark, monkeypatch):
-    docs = documents.limit(80)
-    want = digest(decontam.find(docs, benchmark))
-    monkeypatch.setattr(decontam.item_blocks, "__defaults__", (decontam.WINDOW, 2000))
-    assert len(list(decontam.item_blocks(benchmark))) > 2
-    assert digest(decontam.find(docs, benchmark)) == want
+def test_blocks_of_the_benchmark_give_the_same(documents, benchmark):
+    docs = documents.limit(80).repartition(3)  # as after a shuffle, rows have no fixed order
+    assert len(decontam.write_blocks(benchmark, 2000)) > 2
+    assert len(decontam.write_blocks(benchmark.repartition(17))) == 1
+    assert digest(decontam.find(docs, benchmark, block_bytes=2000)) == digest(decontam.find(docs, benchmark))
+    assert sorted(r.doc_id for r in decontam.clean(docs, benchmark, block_bytes=2000).collect()) == sorted(r.doc_id for r in decontam.clean(docs, benchmark).collect())
+
+
+def test_the_query(spark, documents):
+    rows = decontam.op1_decontamination(spark, "/root/testdata/sf0.001").collect()
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in rows) == brute([(r.doc_id, r.text) for r in documents.collect()], items)
+    assert all(r.contaminated == (r.n_hit > 0) for r in rows)
 
 
 def test_longest_matches(spark):
