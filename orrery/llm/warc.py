@@ -8,9 +8,10 @@ frame, so that one frame is read to get a record.
 
 Of pages with equal payloads of at least `min_revisit` bytes (equal SHA-1 and length), those with the
 largest page_id are responses and the others revisits of it, without a body. Smaller payloads are all
-responses. Null html is an empty payload. Rows are archived each on its own: repeated ids give
-repeated records, and a null id counts as smaller than all others. Only the id, url and html
-columns are read.
+responses. Null html is an empty payload. Rows are archived each on its own, and no two records have the same
+WARC-Record-ID: it follows from page and payload, but for rows that repeat both, or have no page_id, whose records
+have one drawn from their file and place. Revisits refer to a response's record by WARC-Refers-To, where rows do not repeat it, and
+by X-Refers-To-Page. A null id counts as smaller than all others. Only the id, url and html columns are read.
 """
 
 from __future__ import annotations
@@ -32,16 +33,17 @@ _DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f1f3c52-2a11-5c1e-9a53-6d0d8f0f6a10")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    return f"urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}:{digest}:{place}')}"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """A WARC/1.1 record; the digest is hexadecimal SHA-1."""
+def make_record(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, repeated: bool) -> bytes:
+    """A WARC/1.1 record of that record id; the digest is hexadecimal SHA-1, and `repeated` tells that refers_to is no single record."""
+    revisit = refers_to is not None
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{record_id(page_id)}>",
+        f"WARC-Record-ID: <{name}>",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         f"X-Payload-Length: {len(payload)}",
@@ -50,7 +52,9 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     if url:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(refers_to)}>", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        if not repeated:
+            head.append(f"WARC-Refers-To: <{record_id(refers_to, digest)}>")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http if revisit else http + payload
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -122,15 +126,21 @@ INDEX = "record_id string, page_id long, file string, frame int, offset long, le
 
 
 def decided(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """The pages with digest, and refers_to where they are revisits. Only ids and digests meet by payload; html moves once, by page."""
+    """The pages with digest, refers_to where they are revisits, again (the row repeats page and payload, or has no id) and many (so does the page it refers to).
+
+    Only ids and digests meet by payload; html moves once, by page, and only pages with something to say take part in that join.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"), F.length(payload).alias("n"))
-    ids = own.where(F.col("n") >= min_revisit).select("page_id", "digest", "n")
-    groups = ids.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    revisits = ids.join(groups, ["digest", "n"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    revisits = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct()
+    ids = own.groupBy("page_id", "digest", "n").agg(F.count("*").alias("c"))
+    groups = ids.where(F.col("n") >= min_revisit).groupBy("digest", "n").agg(F.max(F.struct("page_id", "c")).alias("last"), F.sum("c").alias("all")).where("all > 1")
+    groups = groups.select("digest", "n", F.col("last.page_id").alias("last"), (F.col("last.c") > 1).alias("many"))
+    again = (F.col("c") > 1) | F.col("page_id").isNull()
+    told = ids.join(groups, ["digest", "n"], "left").select("page_id", "digest", again.alias("again"), F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"), "many")
+    told = told.where(F.col("again") | F.col("refers_to").isNotNull()).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "again", "refers_to", "many")
     on = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
-    return own.join(revisits, on, "left").select("page_id", "url", "html", "digest", "refers_to")
+    out = own.join(told, on, "left")
+    return out.select("page_id", "url", "html", "digest", "refers_to", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("again", "many")])
 
 
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -151,10 +161,11 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, frame_byt
         with shared.open_output(file) as stream:
             out = BundleWriter(stream, frame_bytes)
             while batch is not None:
-                for page_id, url, html, digest, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    record = make_record(page_id, url, (html or "").encode(), digest, refers_to, refers_to is not None)
+                for page_id, url, html, digest, refers_to, again, many in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    name = record_id(page_id, digest, f"{file}:{len(rows)}" if again else "")
+                    record = make_record(name, page_id, url, (html or "").encode(), digest, refers_to, many)
                     frame, offset = out.add(record)
-                    rows.append((record_id(page_id), page_id, file, frame, offset, len(record)))
+                    rows.append((name, page_id, file, frame, offset, len(record)))
                 batch = next(batches, None)
             out.close()
         for a in range(0, len(rows), 10_000):

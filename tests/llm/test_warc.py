@@ -30,6 +30,8 @@ def test_round_trip(spark, pages):
     got = warc.fetch(index).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == want(pages.collect())
     assert {bytes(r.payload) for r in got if r.record_type == "response"} >= {("é" * 600).encode(), b"short", b""}
+    names = [r.record_id for r in index.collect()]
+    assert len(set(names)) == len(names) == len(got)
     # any zstandard reader can read a bundle as one stream of records
     for file in {r.file for r in index.select("file").distinct().collect()}:
         with shared.open_input(file) as source:
@@ -38,9 +40,19 @@ def test_round_trip(spark, pages):
         while at < len(data):
             fields, _, at = warc.parse_record(data, at)
             ids.append(fields["WARC-Record-ID"])
+            if refers := fields.get("WARC-Refers-To"):
+                assert refers[1:-1] in names
+            elif fields["WARC-Type"] == "revisit":
+                assert fields["X-Refers-To-Page"] == "6"  # whose rows repeat
         assert len(ids) == index.where(F.col("file") == file).count()
 
 
 def test_no_pages(spark, pages):
     index = warc.write(pages.limit(0), shared.shared_dir(spark, "warc"))
     assert warc.fetch(index).count() == 0
+
+
+def test_the_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = warc.op5_warc(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == want(rows)
