@@ -11,7 +11,8 @@ plane is compressed by zstandard on its own. Layout, little-endian throughout:
     footer: offset and size of the row table and of the index, number of ids, number of planes, magic
 
 Documents are range-partitioned and sorted by id, so files in order of their number hold ids in
-ascending order of documents. Null text is empty; equal ids are ordered by text, null ids come first.
+ascending order of documents. There is a file for about PART_BYTES of text. Null text is empty; null ids come first; rows of equal
+ids are ordered by a hash of their text, then by where they stand in the input, so that a repeated id is split over files too.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from orrery.llm.textbytes import blocks
 MAGIC = b"ORPL0001"
 FOOTER = struct.Struct("<QQQQQI8s")
 BLOCK_IDS = 1 << 16
+#: Text that one file is meant to hold.
+PART_BYTES = 96 << 20
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 
@@ -136,10 +139,13 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, end_id:
     """Write all texts; the manifest has one row per file: part, file, n_docs, n_tokens, start.
 
     A task writes under a name of its own and reports it on success, so retried and speculative
-    attempts leave the manifest right. The manifest's rows are as many as `parts`.
+    attempts leave the manifest right. The manifest's rows are as many as `parts`, by default one for each
+    PART_BYTES of text, and at least as many as the cluster runs tasks at once where the text is that long.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        parts = max(-(-total // PART_BYTES), min(spark.sparkContext.defaultParallelism, -(-total // (1 << 20))), 1)
     name = tokenizer_file or TOKENIZER
 
     def run(batches):
@@ -165,7 +171,8 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, end_id:
             out.close(pa.table({"id": pa.chunked_array(ids_of), "n_tokens": n.astype(np.int64)}))
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [file], "n_docs": pa.array([len(n)], pa.int64()), "n_tokens": pa.array([int(n.sum())], pa.int64())})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.repartitionByRange(parts, "id", "h", "at").sortWithinPartitions("id", "h", "at").select("id", "text")
     manifest = [r.asDict() for r in rows.mapInArrow(run, "part int, file string, n_docs long, n_tokens long").collect()]
     start = 0
     for row in sorted(manifest, key=lambda r: r["part"]):
