@@ -2,7 +2,8 @@
 
 A document of n tokens becomes n // max_length pieces of max_length, and one piece for each
 one-bit of the rest, longest first. A sequence is one piece, so none crosses documents and
-none is padded; batches are drawn from one length bucket. No shuffle is needed.
+none is padded. Pieces are written to a folder for each length, from which batches of equal lengths
+are drawn: a batch is a full rectangle of ids. No shuffle is needed.
 
 Null and empty texts give the end token alone: one piece of length 1. Rows with equal or null
 ids are packed each on its own. Other columns of the input are ignored unless kept with `keep`.
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from orrery.llm import tokens
+from orrery.llm import shared, tokens
 from orrery.llm.shared import table
 from orrery.llm.textbytes import blocks
 
@@ -68,11 +69,37 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, end_id: int = END_I
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Sequences in one folder per length."""
-    pieces.write.partitionBy("bucket").parquet(path)
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """Sequences in one folder per length, read back; a filter on `bucket` reads that folder alone."""
+    pieces.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path)
+
+
+def batches(buckets: DataFrame, length: int, rows: int) -> DataFrame:
+    """Batches of `rows` sequences of one length at most: sequence ids, and their ids as one row-major block of little-endian unsigned 32-bit integers."""
+
+    def run(parts):
+        held, at = [], 0
+
+        def put(take):
+            nonlocal held, at
+            table_ = pa.Table.from_batches(held).combine_chunks()
+            out = table_.slice(0, take)
+            held, at = table_.slice(take).to_batches(), at - take
+            return pa.RecordBatch.from_pydict({"sequence_ids": pa.array([out.column(0).to_pylist()], pa.list_(pa.int64())), "ids": pa.array([b"".join(out.column(1).to_pylist())], pa.binary())})
+
+        for part in parts:
+            held.append(part)
+            at += part.num_rows
+            while at >= rows:
+                yield put(rows)
+        if at:
+            yield put(at)
+
+    own = buckets.where(F.col("bucket") == length.bit_length() - 1).select("sequence_id", "ids")
+    return own.mapInArrow(run, "sequence_ids array<long>, ids binary")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"))
+    pieces = write_buckets(pack(table(spark, sf_dir, "documents")), shared.shared_dir(spark, "packed"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
