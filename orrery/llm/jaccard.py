@@ -2,18 +2,22 @@
 
 1.  One pass over the texts makes each document's set of 64-bit shingle hashes. A set goes, once per
     task, to a file in the shared folder; copies meet by the set's fingerprint and are one class from
-    there on. The pass also counts shingles in a sketch of fixed size.
-2.  The sketch gives a global order, rare shingles first (ties by hash). By prefix filtering, two sets
-    that link share a shingle among the first n - ceil(3n/4) + 1 of each; any fixed order is right,
-    and the sketch only makes the runs of sets that share one short. Prefixes meet in buckets of shingles.
+    there on. The pass also counts shingles in a sketch of SKETCH counters.
+2.  The sketch gives one global order of shingles, ties by hash. By prefix filtering, two sets that link share
+    a shingle among the n - ceil(3n/4) + 1 rarest of each. These prefix entries meet in buckets of shingles; a
+    shingle whose counter tells of more than RUN_SPLIT entries is dealt over as many buckets as that needs, so no task holds a long run.
+    Any fixed order gives right results; the sketch only keeps shingles that many sets share out of prefixes. With N shingles in
+    all, a counter's noise is about the square root of N / SKETCH, so a shingle in a few thousand sets still
+    stands out at 10^13 shingles, and rarer ones make runs that are short anyway.
 3.  In a run, each set is a candidate with the run's first PIVOTS sets, as far as sizes and positions
     allow a link. Candidates are verified, and links joined to components. Then, in longer runs that still
-    hold two components or more, all sets of different components that can link are compared, chunk by
-    chunk. So every link that could join two components is found, and no group gives all its pairs.
-4.  Verification is a prefix-tree join: the sets that are to be compared with one set are put in order,
-    which is the depth-first order of their trie; going down, the overlap with the one set is counted
-    once for shingles shared with the previous branch, and a subtree is left when the overlap so far
-    and the remaining lengths cannot reach what a link needs.
+    hold two components or more, the sets are dealt into chunks, files of the shared folder, and each pair of chunks is a unit that is
+    joined as a whole. So every link that could join two components is found, and no group gives all its pairs: rows that are
+    shuffled are a run's sets, and one for each pair of chunks of RUN_CHUNK sets.
+4.  Both go through a prefix-tree join (Trie): sets in the global order, common shingles first, are stored in a tree whose
+    branchless paths are single nodes. One traversal serves all probing sets at once; their overlaps with a path are
+    counted once for all sets below it. Before each block of a node's shingles, a subtree is left when for no probe the overlap so far and the
+    remaining lengths, the probe's and the longest below, reach what a link needs.
 5.  Every link lies in one component. To count all of them, a component's sets are dealt into chunks, and
     each pair of chunks gives its sets' links by a product of incidence matrices; only sums by set leave it.
 
@@ -25,7 +29,9 @@ name nothing. Repeated rows are copies. A document's links are all other rows wh
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -37,17 +43,24 @@ WORDS = 5
 PIVOTS = 3
 #: Counters of the sketch; a slice of them is a row when tasks' counts are added.
 SKETCH, SLICE = 1 << 21, 1 << 16
-#: Prefix entries that a bucket is meant to hold.
-BUCKET_ENTRIES = 2_000_000
-#: Sets of a run that a unit of comparison takes from it, twice at most; and those put in a trie at once there.
-RUN_CHUNK, TRIE_BATCH = 1000, 32
+#: Prefix entries that a bucket is meant to hold; those of one shingle beyond which it is dealt over several.
+BUCKET_ENTRIES, RUN_SPLIT = 2_000_000, 200_000
+#: Sets of a chunk of a run, about; shingles that a trie's traversal takes between two looks at the bounds.
+RUN_CHUNK, STEP = 1000, 64
+#: Candidate pairs and shingles that are verified at once.
+VERIFY_PAIRS, VERIFY_SHINGLES = 1024, 400_000
 #: Sets and shingles of a component that a chunk holds when links are counted, twice at most; and numbers expanded at once there.
 COUNT_CHUNK, COUNT_SHINGLES, COUNT_STEP = 200, 400_000, 1 << 21
-#: Tasks over which the comparisons with one set are dealt.
-SALTS = 32
+#: Rows of candidates and shingles of sets that a task is meant to get; tasks over which the comparisons with one set are dealt.
+TASK_PAIRS, TASK_SHINGLES, SALTS = 50_000, 8_000_000, 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def tasks(spark: SparkSession, amount: int, each: int) -> int:
+    """How many tasks an amount of work makes: by its size, and for small amounts up to what the cluster runs at once."""
+    return max(1, -(-amount // each), min(spark.sparkContext.defaultParallelism, -(-16 * amount // each)))
+
+
 def shingles(raw: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
     """Each row's set of shingle hashes, ascending."""
     low = LOWER[raw]
@@ -73,8 +86,7 @@ def shingles(raw: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[np.nda
 
 
 def fingerprint(s: np.ndarray) -> int:
-    total = mix(mix(s) ^ _STEP).sum(dtype=np.uint64) + np.uint64(len(s)) * _STEP
-    return int(mix(np.array([total]))[0].astype(np.int64))
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -119,6 +131,8 @@ def scan(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
                 batch = next(batches, None)
         packer = zstandard.ZstdCompressor(level=1)
         for k in range(0, SKETCH, SLICE):
+            if not sketch[k : k + SLICE].any():
+                continue
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())], pa.array([k // SLICE], pa.int32()), pa.array([packer.compress(sketch[k : k + SLICE].tobytes())], pa.binary())], names=["doc_id", *SCAN.names])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *SCAN.fields])
@@ -149,25 +163,32 @@ class Store:
     def __init__(self, folder: str):
         self.folder, self.files = folder, {}
 
-    def get(self, file: str, at: int, n: int) -> np.ndarray:
+    def read(self, file: str, at: int, size: int) -> bytes:
         if file not in self.files:
             if len(self.files) >= 256:
                 self.files.pop(next(iter(self.files))).close()
             self.files[file] = shared.open_input(f"{self.folder}/{file}")
-        return np.frombuffer(self.files[file].read_at(8 * n, 8 * at), np.uint64)
+        return self.files[file].read_at(size, at)
+
+    def get(self, file: str, at: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.read(file, 8 * at, 8 * n), np.uint64)
 
     def close(self) -> None:
         for f in self.files.values():
             f.close()
 
 
-def prefixes(classes: DataFrame, folder: str, sketch, buckets: int) -> DataFrame:
-    """Prefix entries as blobs: bucket, and compressed columns (fp, n, entries) of sets and (shingle, position) of entries."""
+def prefixes(classes: DataFrame, folder: str, sketch, buckets: int, parts: int) -> DataFrame:
+    """Prefix entries as blobs: bucket, and compressed columns (fp, n, entries) of sets and (shingle, position) of entries.
+
+    Buckets from `buckets` on hold entries of long runs, each run dealt by set.
+    """
 
     def run(batches):
         import zstandard
 
         counts, store, packer = sketch.value, Store(folder), zstandard.ZstdCompressor(level=1)
+        noise = np.int64(counts.min())
         held: list[tuple] = []
         size = 0
 
@@ -180,13 +201,17 @@ def prefixes(classes: DataFrame, folder: str, sketch, buckets: int) -> DataFrame
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
             place = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
             bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            salts = 1 + (counts[(token % np.uint64(SKETCH)).astype(np.int64)].astype(np.int64) - noise) // RUN_SPLIT
+            hot = np.flatnonzero(salts > 1)
+            salt = mix(fp[owner[hot]].astype(np.uint64)) % salts[hot].astype(np.uint64)
+            bucket[hot] = buckets + (mix(token[hot] + salt * _STEP) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            bounds = np.searchsorted(bucket[order], np.arange(2 * buckets + 1))
             out = []
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 o = order[bounds[b] : bounds[b + 1]]
                 who, entries = np.unique(owner[o], return_counts=True)  # owners ascend in a bucket
-                data = fp[who].tobytes() + n[who].tobytes() + entries.astype(np.uint32).tobytes() + token[o].astype(np.uint32).tobytes() + place[o].tobytes()
+                data = fp[who].tobytes() + n[who].tobytes() + entries.astype(np.uint32).tobytes() + token[o].tobytes() + place[o].tobytes()
                 out.append((b, len(who), len(o), packer.compress(data)))
             held, size = [], 0
             for a in range(0, len(out), 64):
@@ -205,13 +230,22 @@ def prefixes(classes: DataFrame, folder: str, sketch, buckets: int) -> DataFrame
             yield from flush()
         store.close()
 
-    parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = classes.select("fp", "n", "file", "at").repartition(parts, "file", F.floor(F.col("at") / (1 << 20))).sortWithinPartitions("file", "at")
     return rows.mapInArrow(run, "bucket int, sets int, entries int, data binary")
 
 
+RUNS = T.StructType([*[T.StructField(c, T.LongType()) for c in ("run", "a", "b", "n", "pos")], T.StructField("bucket", T.IntegerType()), T.StructField("head", T.LongType())])
+
+
 def runs(blobs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of long runs (run, a = fp, n, pos; b null) and of candidates with the runs' pivots (a, b; run null)."""
+    """Rows of long runs (run, a = fp, n, pos; b null) and of candidates with the runs' pivots (a, b; run null).
+
+    Of a run that is dealt over buckets, rows tell their bucket, and `head` is the order key of the bucket's first PIVOTS sets, else null.
+    """
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
+
+    def rows(size: int, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], k) if f.name in columns else pa.nulls(size, k) for f, k in zip(RUNS.fields, kinds, strict=True)], names=RUNS.names)
 
     def one(bucket: int, parts: list[tuple]):
         columns: list[list] = [[] for _ in range(4)]
@@ -226,21 +260,26 @@ def runs(blobs: DataFrame, buckets: int) -> DataFrame:
             fp, n, many = take(sets, np.int64), take(sets, np.uint32), take(sets, np.uint32)
             columns[0].append(np.repeat(fp, many))
             columns[1].append(np.repeat(n, many))
-            columns[2].append(take(entries, np.uint32))
+            columns[2].append(take(entries, np.uint64))
             columns[3].append(take(entries, np.uint32))
         fp, n, token, pos = map(np.concatenate, columns)
-        order = np.argsort(token, kind="stable")
-        new = np.ones(len(token), bool)
-        new[1:] = token[order[1:]] != token[order[:-1]]
-        first = np.flatnonzero(new)
-        long = np.diff(np.append(first, len(token))) > 1
-        keep = order[np.repeat(long, np.diff(np.append(first, len(token))))]
-        fp, n, token, pos = fp[keep], n[keep].astype(np.int64), token[keep], pos[keep].astype(np.int64)
-        order = np.lexsort((mix(fp.astype(np.uint64)), token))  # the same sets come first in all runs
+        if bucket < buckets:
+            order = np.argsort(token, kind="stable")
+            new = np.ones(len(token), bool)
+            new[1:] = token[order[1:]] != token[order[:-1]]
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(token)))
+            keep = order[np.repeat(size > 1, size)]
+            fp, n, token, pos = fp[keep], n[keep], token[keep], pos[keep]
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        order = np.lexsort((first_of(fp), token))
         fp, n, token, pos = fp[order], n[order], token[order], pos[order]
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
         start = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+        if bucket >= buckets:
+            yield rows(len(fp), run=token.view(np.int64), a=fp, n=n, pos=pos, bucket=np.full(len(fp), bucket), head=np.ma.array(first_of(fp), mask=np.arange(len(fp)) >= start + PIVOTS))
+            return
         pairs = []
         for k in range(PIVOTS):
             i = np.flatnonzero(np.arange(len(token)) > start + k)
@@ -254,11 +293,8 @@ def runs(blobs: DataFrame, buckets: int) -> DataFrame:
         pair = pair[:, distinct]
         size = np.diff(np.append(np.flatnonzero(new), len(token)))
         open_ = np.repeat(size > PIVOTS + 1, size)  # of shorter runs, the pivots' candidates are all
-        fp, n, token, pos = fp[open_], n[open_], token[open_], pos[open_]
-        run = (np.int64(bucket) << 32) | token.astype(np.int64)
-        r, q = len(run), pair.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(fp), pa.nulls(r, pa.int64()), pa.array(n), pa.array(pos)], names=["run", "a", "b", "n", "pos"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(q, pa.int64()), pa.array(pair[0]), pa.array(pair[1]), pa.nulls(q, pa.int64()), pa.nulls(q, pa.int64())], names=["run", "a", "b", "n", "pos"])
+        yield rows(int(open_.sum()), run=token[open_].view(np.int64), a=fp[open_], n=n[open_], pos=pos[open_])
+        yield rows(pair.shape[1], a=pair[0], b=pair[1])
 
     def run(batches):
         import zstandard
@@ -274,7 +310,27 @@ def runs(blobs: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield from one(now, parts)
 
-    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "run long, a long, b long, n long, pos long")
+    return blobs.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RUNS)
+
+
+def first_of(fp: np.ndarray) -> np.ndarray:
+    """The key by which the same sets come first in all runs."""
+    return mix(fp.astype(np.uint64)).astype(np.int64)
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): those that runs() gave, and of runs dealt over buckets, each set with the run's first PIVOTS sets.
+
+    A bucket's heads are few; the pivots among them go to each bucket of the run, and meet its sets there.
+    """
+    dealt = met.where("bucket IS NOT NULL")
+    heads = dealt.where("head IS NOT NULL").select("run", "bucket", "a", "n", "pos", "head")
+    pivots = heads.withColumn("r", F.row_number().over(Window.partitionBy("run").orderBy("head", "a"))).where(F.col("r") <= PIVOTS)
+    cells = heads.select("run", "bucket").distinct().join(pivots.select("run", F.col("a").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp")), "run")
+    least_ = F.floor((3 * (F.col("n") + F.col("pn")) + 6) / 7)
+    can = (4 * F.least("n", "pn") >= 3 * F.greatest("n", "pn")) & (F.col("pos") <= F.col("n") - least_) & (F.col("pp") <= F.col("pn") - least_)
+    more = dealt.join(cells, ["run", "bucket"]).where((F.col("a") != F.col("p")) & can)
+    return met.where("b IS NOT NULL").select("a", "b").union(more.select(F.least("a", "p"), F.greatest("a", "p"))).distinct()
 
 
 def linkable(n, pos_n, m, pos_m):
@@ -283,92 +339,264 @@ def linkable(n, pos_n, m, pos_m):
     return (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (pos_n <= n - least) & (pos_m <= m - least)
 
 
-def trie_join(x: np.ndarray, others: list[np.ndarray]) -> list[int]:
-    """Overlaps of x with other sets, all ascending; -1 where it is too small for a link.
+def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
 
-    Sets in lexicographic order are the leaves of their trie from left to right, and neighbours'
-    common prefixes its inner paths. `counted[d]` is the overlap of the current path's first d shingles.
+class Trie:
+    """Ordered sets (ascending codes) as a prefix tree; node 0 is the root.
+
+    A node holds the shingles from depth `start` to `end` of the set `of`, the sets that end there, and its children; of all sets below, the
+    greatest length and the least size of the whole set.
     """
-    out = [-1] * len(others)
-    order = sorted(range(len(others)), key=lambda k: others[k].astype(">u8").tobytes())
-    path = np.zeros(0, np.uint64)
-    counted, known = np.zeros(1, np.int64), 0  # `known` shingles of the path are counted
-    for k in order:
-        y = others[k]
-        least = int(need(len(x), len(y)))
-        m = min(len(path), len(y))
-        differ = path[:m] != y[:m]
-        d = min(int(differ.argmax()) if differ.any() else m, known)
-        counted = counted[: d + 1]
-        path, alive = y, 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y))
-        while alive and d < len(y):
-            e = min(len(y), max(64, 2 * d))
-            at = np.minimum(np.searchsorted(x, y[d:e]), len(x) - 1)
-            counted = np.concatenate([counted, counted[-1] + np.cumsum(x[at] == y[d:e])])
-            d = e
-            left = len(x) - int(np.searchsorted(x, y[d - 1], side="right"))
-            alive = counted[-1] + min(left, len(y) - d) >= least
-        known = d
-        if alive and counted[-1] >= least:
-            out[k] = int(counted[-1])
-    return out
 
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        self.sets, self.sizes = sets, sizes
+        order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u4").tobytes())
+        lengths = np.array([len(sets[k]) for k in order])
+        common = np.zeros(len(order), np.int64)  # with the set before
+        for i in range(1, len(order)):
+            x, y = sets[order[i - 1]], sets[order[i]]
+            m = min(len(x), len(y))
+            differ = x[:m] != y[:m]
+            common[i] = differ.argmax() if differ.any() else m
+        own = sizes[order]
+        self.of, self.start, self.end, self.longest, self.smallest, self.ends, self.children = [], [], [], [], [], [], []
+        waiting = [(0, len(order), 0, -1)]
+        while waiting:
+            lo, hi, depth, parent = waiting.pop()
+            end = int(common[lo + 1 : hi].min()) if hi - lo > 1 else int(lengths[lo])
+            last = lo
+            while last < hi and lengths[last] == end:
+                last += 1
+            node = len(self.of)
+            self.of.append(order[lo])
+            self.start.append(depth)
+            self.end.append(end)
+            self.longest.append(int(lengths[lo:hi].max()))
+            self.smallest.append(int(own[lo:hi].min()))
+            self.ends.append(order[lo:last])
+            self.children.append([])
+            if parent >= 0:
+                self.children[parent].append(node)
+            if last < hi:
+                cuts = [last, *(last + 1 + np.flatnonzero(common[last + 1 : hi] == end)).tolist(), hi]
+                waiting += [(a, b, end, node) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def join(self, codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, n_codes: int) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """Probes are rows of ascending codes between `first`, with the sizes of their whole sets. Triples: probes that link, a set, their overlaps."""
+        n = len(sizes)
+        length = np.diff(first)
+        owner = np.repeat(np.arange(n), length)
+        keys, base = owner * n_codes + codes, np.arange(n) * n_codes
+        by = np.argsort(codes, kind="stable")
+        holders, at = owner[by], np.searchsorted(codes[by], np.arange(n_codes + 1))
+        out, waiting = [], [(0, np.zeros(n, np.int64))]
+        while waiting:
+            node, counts = waiting.pop()
+            path, d, end = self.sets[self.of[node]], self.start[node], self.end[node]
+            least = need(sizes, self.smallest[node])
+            while True:
+                left = length if not d else length - (np.searchsorted(keys, base + path[d - 1], side="right") - first[:-1])
+                alive = counts + np.minimum(left, self.longest[node] - d) >= least
+                if d == end or not alive.any():
+                    break
+                block = path[d : min(end, d + STEP)]
+                a, many = at[block], at[block + 1] - at[block]
+                met = holders[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+                counts = counts + np.bincount(met, minlength=n)
+                d += len(block)
+            if not alive.any():
+                continue
+            for k in self.ends[node]:
+                hit = np.flatnonzero(counts >= need(sizes, self.sizes[k]))
+                if len(hit):
+                    out.append((hit, k, counts[hit]))
+            waiting += [(c, counts) for c in self.children[node]]
+        return out
+
+
+def trie_join(xs: list[np.ndarray], ys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (i, j) of sets of xs and of ys that link, and their overlaps. `counts` is the sketch that gives the order.
+
+    Shingles that one side alone holds can add nothing, and a set whose other shingles are too few for any link is left out with them.
+    """
+    none = (np.zeros(0, np.int64),) * 3
+    if not xs or not ys:
+        return none
+    (tx, ox), (ty, oy) = flat(xs), flat(ys)
+    token = np.intersect1d(tx, ty)
+    if not len(token):
+        return none
+    nx, ny = np.array([len(s) for s in xs]), np.array([len(s) for s in ys])
+    code = np.empty(len(token), np.int64)
+    code[np.lexsort((token, -counts[(token % np.uint64(SKETCH)).astype(np.int64)].astype(np.int64)))] = np.arange(len(token))
+
+    def coded(t, o, sizes, other):
+        at = np.minimum(np.searchsorted(token, t), len(token) - 1)
+        held = token[at] == t
+        c, o = code[at[held]], o[held]
+        kept = np.flatnonzero(np.bincount(o, minlength=len(sizes)) >= need(sizes, other.min()))
+        place = np.full(len(sizes), -1)
+        place[kept] = np.arange(len(kept))
+        some = place[o] >= 0
+        c, o = c[some], place[o[some]]
+        order = np.lexsort((c, o))
+        return kept, c[order], np.searchsorted(o[order], np.arange(len(kept) + 1))
+
+    (ix, cx, fx), (iy, cy, fy) = coded(tx, ox, nx, ny), coded(ty, oy, ny, nx)
+    if not len(ix) or not len(iy):
+        return none
+    trie = Trie([cy[a:b] for a, b in zip(fy[:-1], fy[1:], strict=True)], ny[iy])
+    found = trie.join(cx, fx, nx[ix], len(token))
+    if not found:
+        return none
+    return ix[np.concatenate([f[0] for f in found])], iy[np.repeat([f[1] for f in found], [len(f[0]) for f in found])], np.concatenate([f[2] for f in found])
+
+
+LINKS = "a long, b long, overlap long, n_a long, n_b long"
 
-def verified(pairs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [()] * 5)], names=["a", "b", "overlap", "n_a", "n_b"])
+
+
+def verified(pairs: DataFrame, classes: DataFrame, folder: str, sketch, parts: int) -> DataFrame:
     """Of candidate pairs (a, b) those that link, with the overlap and both sizes."""
 
     def compare(store, rows):
-        (_, an, af, aa), *_ = [(r[0], r[2], r[3], r[4]) for r in rows]
-        x = store.get(af, aa, an)
-        for r, overlap in zip(rows, trie_join(x, [store.get(r[6], r[7], r[5]) for r in rows]), strict=True):
-            if overlap >= 0:
-                yield r[0], r[1], overlap, an, r[5]
+        wanted = {(r[0], r[1]) for r in rows}
+        left = {r[0]: r[2:5] for r in rows}
+        right = {r[1]: r[5:8] for r in rows}
+        a, b = list(left), list(right)
+        xs, ys = ([store.get(file, at, n) for n, file, at in side.values()] for side in (left, right))
+        for i, j, overlap in zip(*(x.tolist() for x in trie_join(xs, ys, sketch.value)), strict=True):
+            if (a[i], b[j]) in wanted:
+                yield a[i], b[j], overlap, len(xs[i]), len(ys[j])
 
     def run(batches):
-        store, rows, kinds = Store(folder), [], [pa.int64()] * 5
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 5, kinds, strict=True)], names=["a", "b", "overlap", "n_a", "n_b"])
-
+        store, rows, held = Store(folder), [], 0
         for batch in batches:
             found: list[tuple] = []
             for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if rows and (rows[-1][0] != r[0] or len(rows) >= 512):
+                if len(rows) >= VERIFY_PAIRS or held >= VERIFY_SHINGLES:
                     found += compare(store, rows)
-                    rows = []
+                    rows, held = [], 0
+                held += r[5] + (r[2] if not rows or rows[-1][0] != r[0] else 0)
                 rows.append(r)
-            yield out(found)
+            yield _links(found)
         if rows:
-            yield out(list(compare(store, rows)))
+            yield _links(list(compare(store, rows)))
         store.close()
 
     def at(name: str) -> DataFrame:
         return classes.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "file", "at")])
 
     rows = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "a_n", "a_file", "a_at", "b_n", "b_file", "b_at")
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "a", F.pmod(F.xxhash64("b"), F.lit(SALTS))).sortWithinPartitions("a", "b")
-    return rows.mapInArrow(run, "a long, b long, overlap long, n_a long, n_b long")
+    return rows.mapInArrow(run, LINKS)
+
+
+CHUNKS = "key long, own int, k int, blob string, place long, bytes long, lo long, hi long"
+
+
+def chunk_files(rows: DataFrame, folder: str, parts: int) -> DataFrame:
+    """Chunks of groups as files: rows of (key, own, k, label, ...) with own below k in, one row per chunk out, with its place and its least and greatest label."""
+
+    def run(batches):
+        held, name, at = [], uuid.uuid4().hex, 0
+        with shared.open_output(f"{folder}/chunks-{name}") as stream:
+
+            def put():
+                nonlocal at
+                chunk = pa.Table.from_batches(held)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, chunk.schema) as out:
+                    out.write_table(chunk)
+                data = sink.getvalue()
+                stream.write(data)
+                at += data.size
+                label = chunk["label"].to_numpy()
+                return (*(chunk[c][0].as_py() for c in ("key", "own", "k")), name, at - data.size, data.size, int(label.min()), int(label.max()))
+
+            def out(found):
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4)
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 8, kinds, strict=True)], names=["key", "own", "k", "blob", "place", "bytes", "lo", "hi"])
+
+            now = None
+            for batch in batches:
+                found = []
+                key, own = batch["key"].to_numpy(), batch["own"].to_numpy()
+                cuts = [0, *(1 + np.flatnonzero((key[1:] != key[:-1]) | (own[1:] != own[:-1]))).tolist(), len(key)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if held and (key[a], own[a]) != now:
+                        found.append(put())
+                        held = []
+                    now = key[a], own[a]
+                    held.append(batch.slice(a, b - a))
+                yield out(found)
+            if held:
+                yield out([put()])
+
+    rows = rows.repartition(parts, "key", "own").sortWithinPartitions("key", "own", "fp")
+    return shared.written(rows.mapInArrow(run, CHUNKS), "chunks")
+
+
+def chunk_pairs(chunks: DataFrame, differing: bool) -> DataFrame:
+    """Each pair of chunks of a group, once, and each chunk with itself; with `differing`, only pairs of more than one label."""
+    right = chunks.select("key", F.col("own").alias("y"), *[F.col(c).alias(f"y_{c}") for c in ("blob", "place", "bytes", "lo", "hi")])
+    pairs = chunks.withColumn("y", F.explode(F.sequence("own", F.col("k") - 1))).join(right, ["key", "y"])
+    if differing:
+        pairs = pairs.where((F.least("lo", "y_lo") != F.greatest("hi", "y_hi")))
+    return pairs.select("key", F.col("own").alias("x"), "y", "blob", "place", "bytes", "y_blob", "y_place", "y_bytes")
+
+
+def units(pairs: DataFrame, folder: str, parts: int, unit, out, schema: str) -> DataFrame:
+    """unit(store, left, right, same) of each pair of chunks, each a dict of columns; `out` makes a batch of what a task's units gave."""
+
+    def run(batches):
+        store, known = Store(folder), {}
+
+        def chunk(blob, place, size):
+            if (blob, place) not in known:
+                if len(known) > 1:
+                    known.pop(next(iter(known)))
+                data = store.read(f"chunks-{blob}", place, size)
+                rows = pa.ipc.open_stream(data).read_all()
+                known[blob, place] = {c: rows[c].to_pylist() for c in rows.column_names}, {}
+            return known[blob, place]
+
+        for batch in batches:
+            for _, x, y, *where in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                yield out(list(unit(store, chunk(*where[:3]), chunk(*where[3:]), x == y)))
+        store.close()
+
+    return pairs.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, schema)
+
 
+def _sets(store: Store, chunk: tuple[dict, dict]) -> list[np.ndarray]:
+    """A chunk's sets, read once while the chunk is held."""
+    rows, held = chunk
+    if not held:
+        held["sets"] = [store.get(*r) for r in zip(rows["file"], rows["at"], rows["n"], strict=True)]
+    return held["sets"]
 
-def across(runs_: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """Links between sets of one run whose labels differ: rows of (run, fp, n, pos, label) in, links (a, b, overlap, n_a, n_b) out.
 
-    A run of more than RUN_CHUNK sets is cut into chunks, and each pair of chunks is a unit of its own, so
-    that a task never holds more than two chunks of a run. Within a task, pairs that links found
-    there have connected meanwhile are not compared again; every other pair that can link is.
+def across(runs_: DataFrame, classes: DataFrame, folder: str, sketch) -> DataFrame:
+    """Links between sets of one run whose labels differ: rows of (run, fp, n, label) in, links (a, b, overlap, n_a, n_b) out.
+
+    A unit gives only links that join two labels which its links before have not joined.
     """
+    spark = runs_.sparkSession
     many = runs_.groupBy("run").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    rows = runs_.join(many.select("run", F.ceil(F.col("c") / RUN_CHUNK).cast("int").alias("k")), "run")
-    rows = rows.join(classes.select("fp", "file", "at"), "fp")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    rows = rows.withColumn("own", chunk).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    units = rows.select("run", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "fp", "n", "pos", "label", "file", "at")
-    parts = int(runs_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = units.repartition(parts, "run", "x", "y").sortWithinPartitions("run", "x", "y", "fp")
+    rows = runs_.join(many.select("run", F.ceil(F.col("c") / RUN_CHUNK).cast("int").alias("k")), "run").join(classes.select("fp", "file", "at"), "fp")
+    rows = shared.written(rows.select(F.col("run").alias("key"), F.pmod(F.xxhash64("fp"), F.col("k")).cast("int").alias("own"), "k", "fp", "n", "label", "file", "at"), "open")
+    chunks = chunk_files(rows, folder, tasks(spark, rows.count(), 100 * RUN_CHUNK))
+    pairs = chunk_pairs(chunks, True)
 
-    def run(batches):
-        store, parent, rows_, kinds = Store(folder), {}, [], [pa.int64()] * 5
+    def unit(store, left, right, same):
+        (l, _), (r, _) = left, right
+        parent: dict[int, int] = {}
 
         def root(k):
             while parent.get(k, k) != k:
@@ -376,46 +604,14 @@ def across(runs_: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
                 k = parent[k]
             return k
 
-        def compare():
-            _, x, y, own, fp, n, pos, label, file, at = (list(c) for c in zip(*rows_, strict=True))
-            n_, pos_, own_ = np.array(n), np.array(pos), np.array(own)
-            roots = np.array([root(v) for v in label])
-            for i in range(len(rows_) - 1):
-                rest = np.arange(i + 1, len(rows_))
-                if x[i] != y[i]:
-                    rest = rest[own_[rest] != own[i]]
-                rest = rest[(roots[rest] != roots[i]) & linkable(n_[i], pos_[i], n_[rest], pos_[rest])]
-                if not len(rest):
-                    continue
-                probe = store.get(file[i], at[i], n[i])
-                while len(rest):
-                    now, rest = rest[:TRIE_BATCH], rest[TRIE_BATCH:]
-                    merged = False
-                    for j, overlap in zip(now.tolist(), trie_join(probe, [store.get(file[j], at[j], n[j]) for j in now.tolist()]), strict=True):
-                        if overlap >= 0 and root(label[i]) != root(label[j]):
-                            parent[root(label[j])] = root(label[i])
-                            merged = True
-                            yield min(fp[i], fp[j]), max(fp[i], fp[j]), overlap, *((n[i], n[j]) if fp[i] < fp[j] else (n[j], n[i]))
-                    if merged:
-                        roots = np.array([root(v) for v in label])
-                        rest = rest[roots[rest] != roots[i]]
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 5, kinds, strict=True)], names=["a", "b", "overlap", "n_a", "n_b"])
-
-        for batch in batches:
-            found: list[tuple] = []
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if rows_ and rows_[-1][:3] != r[:3]:
-                    found += compare()
-                    rows_.clear()
-                rows_.append(r)
-            yield out(found)
-        if rows_:
-            yield out(list(compare()))
-        store.close()
+        for i, j, overlap in zip(*(x.tolist() for x in trie_join(_sets(store, left), _sets(store, right), sketch.value)), strict=True):
+            u, v = root(l["label"][i]), root(r["label"][j])
+            if u != v:
+                parent[u] = v
+                (a, n), (b, m) = sorted([(l["fp"][i], l["n"][i]), (r["fp"][j], r["n"][j])])
+                yield a, b, overlap, n, m
 
-    return units.mapInArrow(run, "a long, b long, overlap long, n_a long, n_b long")
+    return units(pairs, folder, tasks(spark, pairs.count(), 20), unit, _links, LINKS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -429,20 +625,19 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         parent = edges.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("p"))  # u < v, so chains end
         jump = parent.alias("s").join(parent.alias("t"), F.col("s.p") == F.col("t.x"), "left").select(F.col("s.x").alias("x"), F.coalesce("t.p", "s.p").alias("p"))
-        jump = shared.written(jump, "jump")
+        jump, before = shared.written(jump, "jump"), (edges, labels)
         labels = shared.written(labels.join(jump, F.col("label") == F.col("x"), "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
         left = edges.join(jump, F.col("u") == F.col("x"), "left").select(F.coalesce("p", "u").alias("u"), "v")
         both = left.join(jump, F.col("v") == F.col("x"), "left").select("u", F.coalesce("p", "v").alias("v"))
         edges = shared.written(both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        shared.release(*before, jump)
+    shared.release(edges)
     return labels
 
 
 def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     """How many shingles each of xs shares with each of ys. Common shingles go through a dense product, the others pair by pair."""
 
-    def flat(sets):
-        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-
     (tx, ox), (ty, oy) = flat(xs), flat(ys)
     token = np.intersect1d(tx, ty)
     out = np.zeros((len(xs), len(ys)), np.int64)
@@ -489,49 +684,32 @@ def link_counts(groups: DataFrame, folder: str) -> DataFrame:
     `sets` is how many other sets link with a set, `docs` how many documents have one of those. Each pair
     of a component's sets is in exactly one unit, a pair of chunks, so that nothing is counted twice.
     """
+    spark = groups.sparkSession
     many = groups.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     many = many.select("label", F.greatest(F.ceil(F.col("c") / COUNT_CHUNK), F.least("c", F.ceil(F.col("s") / COUNT_SHINGLES))).cast("int").alias("k"))
-    rows = groups.join(many, "label").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    units = rows.select("label", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "fp", "file", "at", "n", "copies")
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = units.repartition(parts, "label", "x", "y").sortWithinPartitions("label", "x", "y", "fp")
-
-    def run(batches):
-        store, rows_, kinds = Store(folder), [], [pa.int64()] * 3
-
-        def count():
-            _, x, y, *_ = rows_[0]
-            left = [r for r in rows_ if r[3] == x]
-            right = [r for r in rows_ if r[3] == y]
-            if not left or not right or len(rows_) == 1:
-                return
-            xs = [store.get(r[5], r[6], r[7]) for r in left]
-            ys = xs if x == y else [store.get(r[5], r[6], r[7]) for r in right]
-            link = 7 * overlaps(xs, ys) >= 3 * np.add.outer([len(s) for s in xs], [len(s) for s in ys])
-            if x == y:
-                np.fill_diagonal(link, False)
-            for side, other, m in [(left, right, link), (right, left, link.T)][: 1 if x == y else 2]:
-                for r, sets, docs in zip(side, m.sum(axis=1).tolist(), (m @ np.array([r[8] for r in other])).tolist(), strict=True):
-                    if sets:
-                        yield r[4], sets, docs
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 3, kinds, strict=True)], names=["fp", "sets", "docs"])
+    rows = groups.join(many, "label").select(F.col("label").alias("key"), F.pmod(F.xxhash64("fp"), F.col("k")).cast("int").alias("own"), "k", "label", "fp", "file", "at", "n", "copies")
+    rows = shared.written(rows, "linked")
+    chunks = chunk_files(rows, folder, tasks(spark, rows.count(), 100 * COUNT_CHUNK))
+    pairs = chunk_pairs(chunks, False)
+
+    def unit(store, left, right, same):
+        (l, _), (r, _) = left, right
+        if same and len(l["fp"]) == 1:
+            return
+        xs, ys = _sets(store, left), _sets(store, right)
+        link = 7 * overlaps(xs, ys) >= 3 * np.add.outer(l["n"], r["n"])
+        if same:
+            np.fill_diagonal(link, False)
+        for side, other, m in [(l, r, link), (r, l, link.T)][: 1 if same else 2]:
+            for fp, sets, docs in zip(side["fp"], m.sum(axis=1).tolist(), (m @ np.array(other["copies"])).tolist(), strict=True):
+                if sets:
+                    yield fp, sets, docs
 
-        for batch in batches:
-            found: list[tuple] = []
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if rows_ and rows_[-1][:3] != r[:3]:
-                    found += count()
-                    rows_.clear()
-                rows_.append(r)
-            yield out(found)
-        if rows_:
-            yield out(list(count()))
-        store.close()
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [()] * 3)], names=["fp", "sets", "docs"])
 
-    return units.mapInArrow(run, "fp long, sets long, docs long").groupBy("fp").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
+    counted = units(pairs, folder, tasks(spark, pairs.count(), 200), unit, out, "fp long, sets long, docs long")
+    return counted.groupBy("fp").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
 
 
 class Joined:
@@ -567,52 +745,54 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Joi
     sketch = spark.sparkContext.broadcast(add_sketches(scanned.where("slice IS NOT NULL").select("slice", "counts")))
     found = scanned.where("file IS NOT NULL").groupBy("fp").agg(F.min(F.struct("n", "file", "at")).alias("s"))
     classes = shared.written(found.select("fp", "s.n", "s.file", "s.at"), "classes")
-    total = classes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
-    buckets = int(total // BUCKET_ENTRIES) + 1
-    met = shared.written(runs(prefixes(classes, folder, sketch, buckets), buckets), "runs")
-    pairs = met.where("run IS NULL").select("a", "b").distinct()
-    links = shared.written(verified(pairs, classes, folder), "links")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = int((total // 4 + 1) // BUCKET_ENTRIES) + 1
+    met = shared.written(runs(prefixes(classes, folder, sketch, buckets, tasks(spark, total, TASK_SHINGLES)), buckets), "runs")
+    pairs = shared.written(candidates(met), "pairs")
+    links = shared.written(verified(pairs, classes, folder, sketch, tasks(spark, pairs.count(), TASK_PAIRS)), "links")
     labels = components(links)
-    entries = met.where("run IS NOT NULL").select("run", F.col("a").alias("fp"), "n", "pos")
-    placed = entries.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("run", "fp", "n", "pos", F.coalesce("label", "fp").alias("label"))
+    entries = met.where("run IS NOT NULL").select("run", F.col("a").alias("fp"), "n")
+    placed = entries.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("run", "fp", "n", F.coalesce("label", "fp").alias("label"))
     placed = shared.written(placed, "placed")
-    more = shared.written(across(placed, classes, folder), "links")
+    more = shared.written(across(placed, classes, folder, sketch), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
+    shared.release(met, pairs, placed)
     return Joined(members, classes, links, labels, folder)
 
 
-def _fingerprinted(docs: DataFrame, text_col: str) -> DataFrame:
-    at = docs.columns.index(text_col)
+def _fingerprinted(rows: DataFrame) -> DataFrame:
+    """Rows of (row, id, text) with the fingerprint of the text's set (null of texts without words)."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(s) if len(s) else None for _, _, raw, off in blocks(batch.column(at)) for s in shingles(raw, off)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], schema=batch.schema.append(pa.field("_fp", pa.int64())))
+            fps = [fingerprint(s) if len(s) else None for _, _, raw, off in blocks(batch.column(2)) for s in shingles(raw, off)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], schema=batch.schema.append(pa.field("fp", pa.int64())))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id; documents without words stay.
 
-    Rows whose id repeats or is null are told apart by their sets; a null id is the largest.
+    Rows whose id repeats or is null are told apart by their sets; a null id is the largest. Of rows with equal ids and
+    sets the first by text stays. A row travels as one column, so that its columns may have any names and keep their values.
     """
     found = join(docs, id_col, text_col)
     least = found.placed().groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("s")).select("s.doc_id", "s.fp")
     empty = found.members.where("n = 0").select("doc_id", F.lit(None).cast("long").alias("fp"))
-    keep = shared.written(least.unionByName(empty).select(F.col("doc_id").alias("_keep"), F.col("fp").alias("_of")), "keep")
-    many = shared.written(found.members.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_many")), "many")
+    keep = shared.written(least.unionByName(empty).select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")), "keep")
+    many = shared.written(found.members.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("many_id")), "many")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if many.isEmpty():
-        return docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
-    again = F.col(id_col).eqNullSafe(F.col("_many"))
-    single = docs.join(many, again, "left_anti").join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
-    rows = _fingerprinted(docs.join(many, again, "left_semi"), text_col)
-    rows = rows.join(keep.where("_of IS NOT NULL"), F.col(id_col).eqNullSafe(F.col("_keep")) & F.col("_fp").eqNullSafe(F.col("_of")), "left")
-    first = F.row_number().over(Window.partitionBy(id_col, "_fp").orderBy(text_col))
-    rows = rows.where("_fp IS NULL OR _of IS NOT NULL").withColumn("_first", first).where("_fp IS NULL OR _first = 1")
-    return single.unionByName(rows.select(*docs.columns))
+        return rows.select("row", "id").join(keep, F.col("id") == F.col("kept_id"), "left_semi").select("row.*")
+    again = F.col("id").eqNullSafe(F.col("many_id"))
+    single = rows.join(many, again, "left_anti").join(keep, F.col("id") == F.col("kept_id"), "left_semi")
+    repeated = _fingerprinted(rows.join(many, again, "left_semi"))
+    repeated = repeated.join(keep.where("kept_fp IS NOT NULL"), F.col("id").eqNullSafe(F.col("kept_id")) & F.col("fp").eqNullSafe(F.col("kept_fp")), "left")
+    worded = repeated.where("fp IS NOT NULL AND kept_fp IS NOT NULL").groupBy("id", "fp").agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row"))
+    return single.select("row").unionByName(repeated.where("fp IS NULL").select("row")).unionByName(worded.select("row")).select("row.*")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

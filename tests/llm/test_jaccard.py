@@ -79,9 +79,39 @@ def test_small_buckets_chunks_and_one_pivot(copies, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET_ENTRIES", 500)
     monkeypatch.setattr(jaccard, "PIVOTS", 1)
     monkeypatch.setattr(jaccard, "RUN_CHUNK", 20)
+    monkeypatch.setattr(jaccard, "VERIFY_PAIRS", 50)
     assert got(jaccard.join(copies).by_document()) == brute([tuple(r) for r in copies.collect()])
 
 
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_runs_dealt_over_buckets(copies, monkeypatch, pivots):
+    monkeypatch.setattr(jaccard, "BUCKET_ENTRIES", 500)
+    monkeypatch.setattr(jaccard, "RUN_SPLIT", 15)
+    monkeypatch.setattr(jaccard, "RUN_CHUNK", 30)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    assert got(jaccard.join(copies).by_document()) == brute([tuple(r) for r in copies.collect()])
+
+
+def test_unlike_sets_with_a_shared_shingle_stay_linear(spark, tmp_path, monkeypatch):
+    # all 3,000 sets have one shingle in common, in every prefix: rows written between steps grow with the sets, not their square
+    made, write = {}, jaccard.shared.written
+
+    def counted(frame, name):
+        out = write(frame, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.shared, "written", counted)
+    monkeypatch.setattr(jaccard, "RUN_SPLIT", 500)
+    monkeypatch.setattr(jaccard, "SKETCH", 1 << 16)  # small, so that the common shingle's rank is no help
+    passage = "these five words are common"
+    docs = spark.createDataFrame([(k, passage + f" x{k} y{k} z{k}" if k % 2 else passage + "".join(f" x{k}_{i}" for i in range(k % 7))) for k in range(3000)], "doc_id long, text string")
+    labels = {r.doc_id: r.component_id for r in jaccard.join(docs).by_document().collect()}
+    want = brute([tuple(r) for r in docs.collect()])
+    assert labels == {d: c for d, _, c in want}
+    assert max(made.values()) < 10 * 3000
+
+
 def test_counts_every_link(odd, copies, monkeypatch):
     monkeypatch.setattr(jaccard, "COUNT_CHUNK", 20)
     monkeypatch.setattr(jaccard, "COUNT_STEP", 500)
@@ -106,16 +136,38 @@ def test_overlaps():
 
 def test_trie_join():
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        x = np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64))
-        others = []
-        for _ in range(20):
-            drop = rng.random(len(x)) > rng.choice([0.02, 0.1, 0.3])
-            others.append(np.unique(np.concatenate([x[drop], rng.integers(0, 400, rng.integers(0, 30)).astype(np.uint64)])))
-        others = [o for o in others if len(o)]
-        for o, n in zip(others, jaccard.trie_join(x, others), strict=True):
-            both = len(np.intersect1d(x, o))
-            assert n == (both if 7 * both >= 3 * (len(x) + len(o)) else -1)
+    counts = rng.integers(0, 50, jaccard.SKETCH).astype(np.uint32)
+    for _ in range(40):
+        base = np.unique(rng.integers(0, 400, rng.integers(1, 250)).astype(np.uint64))
+
+        def near():
+            drop = rng.random(len(base)) > rng.choice([0.0, 0.02, 0.1, 0.3])
+            return np.unique(np.concatenate([base[drop], rng.integers(0, 400, rng.integers(0, 30)).astype(np.uint64)]))
+
+        xs, ys = ([s for s in (near() for _ in range(25)) if len(s)] for _ in range(2))
+        ys += xs[:2]
+        got = {(i, j): n for i, j, n in zip(*(x.tolist() for x in jaccard.trie_join(xs, ys, counts)), strict=True)}
+        both = {(i, j): len(np.intersect1d(x, y)) for i, x in enumerate(xs) for j, y in enumerate(ys)}
+        assert got == {k: n for k, n in both.items() if 7 * n >= 3 * (len(xs[k[0]]) + len(ys[k[1]]))}
+
+
+def test_trie_shares_paths_and_leaves_subtrees():
+    sets = [np.array(x) for x in ([0, 1, 2, 3], [0, 1, 2, 4, 5], [0, 1, 2], [7, 8], [0, 1, 2, 3])]
+    trie = jaccard.Trie(sets, np.array([4, 5, 3, 2, 4]))
+    paths = {tuple(sets[trie.of[k]][trie.start[k] : trie.end[k]].tolist()): sorted(trie.ends[k]) for k in range(len(trie.of))}
+    assert paths == {(): [], (0, 1, 2): [2], (3,): [0, 4], (4, 5): [1], (7, 8): [3]}
+    assert trie.longest[0] == 5 and trie.smallest[0] == 2
+    seen = []
+
+    class Path(np.ndarray):
+        def __getitem__(self, k):
+            seen.append(self.tolist())
+            return np.ndarray.__getitem__(self, k)
+
+    trie.sets = [s.view(Path) for s in sets]
+    found = trie.join(np.array([0, 1, 2, 4, 5]), np.array([0, 5]), np.array([5]), 9)
+    assert [(h.tolist(), k, n.tolist()) for h, k, n in found if k == 1] == [([0], 1, [5])]
+    assert [7, 8] not in seen  # the bound leaves it before its first block
 
 
 def test_components(spark):
@@ -131,5 +183,22 @@ def test_stage_keeps_one_of_each(odd, copies):
     rows = jaccard.one_of_each(odd)
     assert rows.columns == odd.columns
     kept = sorted(str(r.doc_id) for r in rows.collect())
-    assert kept == sorted(str(x) for x in [None, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11])
+    assert kept == sorted(str(x) for x in [None, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12])
     assert jaccard.one_of_each(odd.limit(0)).count() == 0
+
+
+def test_stage_leaves_every_column_alone(spark):
+    names = ["_first", "_fp", "_of", "_keep", "_many", "_row", "row", "id", "fp", "kept_id", "kept_fp", "many_id", "label", "n"]
+    texts = ["one two three four five six", "one two three four five six", "seven eight nine ten eleven twelve", "", None, "one two three four five six"]
+    ids = [(3, 3, 3, 3, 3, None), (1, 2, 3, 4, 5, 6), (7, 7, None, None, 8, 9)]
+    for some in ids:
+        rows = [(d, t, *[100 * k + i for i in range(len(names))]) for k, (d, t) in enumerate(zip(some, texts, strict=True))]
+        out = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} long" for c in names)))
+        kept = [tuple(r) for r in out.collect()]
+        assert out.columns == ["doc_id", "text", *names] and set(map(str, kept)) <= set(map(str, rows))
+        assert sorted(str(r[1]) for r in kept) == sorted(map(str, ["one two three four five six", *texts[2:5]]))
+
+
+def test_the_query(spark, documents):
+    got_ = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.op2_jaccard_join(spark, "/root/testdata/sf0.001").collect()), key=str)
+    assert got_ == brute([(r.doc_id, r.text) for r in documents.collect()])
