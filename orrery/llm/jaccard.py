@@ -797,3 +797,24 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(shared.table(spark, sf_dir, "documents")).by_document()
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0
+), z AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT a, b, c = x.n AND c = y.n AS same FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM z UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(k.c, d.doc_id) AS class_id, coalesce(r.c, d.doc_id) AS component_id, coalesce(k.n, 0) AS n_links
+FROM d LEFT JOIN z USING (doc_id)
+LEFT JOIN (SELECT a, least(a, min(b) FILTER (WHERE same)) AS c, count(*) AS n FROM link GROUP BY a) k ON k.a = d.doc_id
+LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""

@@ -4,7 +4,7 @@ P(grade <= k) = 1 / (1 + exp(-(t_k - w.x))) with one weight vector w for all gra
 thresholds t_0 < t_1 < ... (each the one before plus the exponential of a parameter). A text's
 vector x is hashed: its lower-case words `[^\\x20\\x09-\\x0D]+`, the shares of its bytes, the share of words that repeat the word
 before, and of words seen before. The fit is Adagrad in numpy on at most `most` rated rows (those smallest by a
-hash of their id, never those whose crc32 of the id as text is divisible by 5), whole texts of them.
+hash of their id, never those whose crc32 of the id as text is divisible by 5) with at most MOST_WORDS words together, whole texts of them.
 
 Scores are the expected grade and tail probabilities P(grade >= k); selection takes texts whose tail
 probability is at least a cutoff. Null and empty texts have the vector of no words. Null ids are scored and never
@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from orrery.llm.shared import table
 from orrery.llm.textbytes import LOWER, WHITE, blocks, range_hashes, word_ranges
-from orrery.llm.toxicity import held_out
+from orrery.llm.toxicity import bounded, held_out
 
 BUCKETS = 1 << 18
 DENSE = 256 + 4
-MOST = 6000
+MOST, MOST_WORDS = 6000, 40_000_000
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.3, 1e-6
 CUTOFF = 0.5
 
@@ -122,7 +122,7 @@ class Fitted:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, most: int = MOST) -> Fitted:
-    """Fit on whole-number grades; the driver gets at most `most` rows."""
+    """Fit on whole-number grades; the driver gets at most `most` rows and MOST_WORDS words."""
     rated = ratings.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("_id"), grade.cast("long").alias("_g")).where("_g IS NOT NULL")
     chosen = rated.groupBy("_id").agg(F.min("_g").alias("_g")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id")  # at most `most` rows
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, most: int = MOST) ->
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words, pa.binary()), pa.array(parts, pa.binary())], names=["g", "id", "words", "dense"])
 
     schema = T.StructType([T.StructField("g", T.LongType()), T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("words", T.BinaryType()), T.StructField("dense", T.BinaryType())])
-    got = rows.select("text", "_g", "_id").mapInArrow(run, schema).orderBy(F.xxhash64("id"), "id", "words").limit(most).collect()
+    got = bounded(rows.select("text", "_g", "_id").mapInArrow(run, schema), most, "words", 4 * MOST_WORDS)
     grades = sorted({r["g"] for r in got})
     if len(grades) < 2:
         return Fitted(None, grades or [0])

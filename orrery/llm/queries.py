@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
+    return {"op1_decontamination": decontam.ORACLE_SQL, "op2_jaccard_join": jaccard.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}

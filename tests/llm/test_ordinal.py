@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from orrery.llm import ordinal
-from orrery.llm.textbytes import text_buffer
+from orrery.llm.textbytes import range_hashes, text_buffer
 
 
 def graded(n=900, seed=2):
@@ -62,3 +63,33 @@ def test_features_of_rows_do_not_mix():
     assert (dense[0] == dense[4]).all() and (ids[rows[0] : rows[1]] == ids[rows[4] : rows[5]]).all()
     assert np.isclose(dense[0, 256], 1 / 3) and np.isclose(dense[0, 257], 1 / 3) and np.isclose(dense[3, 257], 0.5)
     assert dense[1, :256].sum() == 0
+
+
+def by_hand(model, grades, text):
+    """Expected grade and tail probabilities of one text."""
+    data = (text or "").encode()
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    hashes = [int(range_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for w in words]
+    dense = [np.sqrt(data.count(bytes([k])) / max(1, len(data))) for k in range(256)]
+    dense += [sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words)), 1 - len(set(words)) / max(1, len(words)), np.log1p(len(words)) / 10, 1]
+    z = sum(float(model.w[h % ordinal.BUCKETS]) for h in hashes) / np.sqrt(max(1, len(words))) + float(np.dot(model.d, dense))
+    below = [1 / (1 + np.exp(-(t - z))) for t in model.thresholds()]
+    p = np.diff([0, *below, 1])
+    return float(p @ grades), [float(p[k:].sum()) for k in range(1, len(grades))]
+
+
+def test_the_query(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in ordinal.op6_ordinal_quality(spark, folder).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    fitted = ordinal.fit(docs, labels, ordinal.grade_of())
+    assert set(got) == set(texts) and fitted.grades == [0, 1, 2]
+    for k in sorted(texts, key=lambda k: len(texts[k] or ""))[:800:8]:
+        e, tails = by_hand(fitted.model, fitted.grades, texts[k])
+        r = got[k]
+        assert max(abs(r.expected_grade - e), abs(r.p_tail - tails[0]), abs(r.p_top - tails[1])) < 1e-4, k
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and r.kept == (r.p_tail >= ordinal.CUTOFF) for k, r in got.items())
+    held = [(got[r.doc_id].p_tail, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    s, y = (np.array(x) for x in zip(*held, strict=True))
+    assert (s[y == 1][:, None] > s[y == 0][None]).mean() > 0.9
