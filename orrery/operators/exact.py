@@ -28,10 +28,22 @@ def dd_add(x: tuple[float, float], y: tuple[float, float]) -> tuple[float, float
 
 
 def dd_sum(values) -> tuple[float, float]:
-    out = (0.0, 0.0)
-    for v in values:
-        out = dd_add(out, (float(v), 0.0))
-    return out
+    """Pairwise, whole arrays at a time: halves are added element by element until one pair is left."""
+    import numpy as np
+
+    hi = np.asarray(values, np.float64)
+    lo = np.zeros(len(hi))
+    if not len(hi):
+        return 0.0, 0.0
+    while len(hi) > 1:
+        odd = len(hi) % 2
+        a, b = slice(0, len(hi) - odd, 2), slice(1, None, 2)
+        s, e = two_sum(hi[a], hi[b])
+        t, f = two_sum(lo[a], lo[b])
+        s, e = two_sum(s, e + t)
+        s, e = two_sum(s, e + f)
+        hi, lo = (np.concatenate([s, hi[-1:]]), np.concatenate([e, lo[-1:]])) if odd else (s, e)
+    return float(hi[0]), float(lo[0])
 
 
 def certified_sum(frame: DataFrame, keys: list[str], value: str) -> DataFrame:

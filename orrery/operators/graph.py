@@ -10,19 +10,25 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
-def _kept(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the folder of spark.checkpoint.dir, which cuts lineage."""
-    spark = frame.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under spark.checkpoint.dir; only a local session that has none set gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="orrery-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _kept(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the folder of spark.checkpoint.dir, which cuts lineage."""
+    path = folder(frame.sparkSession, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def first_edges(edges: DataFrame, priority: dict[str, int]) -> DataFrame:
@@ -53,26 +59,26 @@ def coupling(edges: DataFrame, group: DataFrame, node: str, by: str) -> DataFram
     return sides.groupBy("grp").agg(F.sum("ca").alias("ca"), F.sum("ce").alias("ce")).withColumn("instability", F.col("ce") / (F.col("ca") + F.col("ce")))
 
 
-def reach(edges: DataFrame, sources: DataFrame, depth: int = 10, backward: bool = False) -> DataFrame:
-    """(origin, node, depth, path) of nodes reached from each source within `depth` steps, the source left out.
+def reach(edges: DataFrame, sources: DataFrame, depth: int | None = 10, backward: bool = False) -> DataFrame:
+    """(origin, node, depth, path) of nodes reached from each source within `depth` steps (None: as far as it goes), the source left out.
 
     Level by level: the frontier is joined to the edges, nodes seen before are dropped by an anti join, and
     of equally short paths the first in order is kept. `truncated` says that the bound cut the search.
     """
     a, b = ("dst", "src") if backward else ("src", "dst")
-    e = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).where("_from <> _to").distinct()
+    e = _kept(edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).where("_from <> _to").distinct(), "edges")
     start = sources.select(F.col(sources.columns[0]).alias("origin")).distinct()
     frontier = start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth"), F.array(F.col("origin").cast("string")).alias("path"))
     seen = frontier
-    levels = []
-    for k in range(1, depth + 2):
+    levels: list[DataFrame] = []
+    for k in itertools.count(1):
         step = frontier.join(e, F.col("node") == F.col("_from")).select("origin", F.col("_to").alias("node"), F.lit(k).alias("depth"), F.concat("path", F.array(F.col("_to").cast("string"))).alias("path"))
         step = step.groupBy("origin", "node").agg(F.min("depth").alias("depth"), F.min("path").alias("path"))
         step = _kept(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti"), "level")
         if step.isEmpty():
             step = None
             break
-        if k > depth:
+        if depth is not None and k > depth:
             break
         levels.append(step)
         seen = seen.unionByName(step)
@@ -84,8 +90,8 @@ def reach(edges: DataFrame, sources: DataFrame, depth: int = 10, backward: bool
     return out.join(cut, "origin")
 
 
-def levels(edges: DataFrame, nodes: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """(node, level) by peeling nodes without incoming edges; nodes on or behind a cycle get level null.
+def levels(edges: DataFrame, nodes: DataFrame | None = None, most: int | None = None, acyclic: bool = False) -> DataFrame:
+    """(node, level) by peeling nodes without incoming edges; nodes on or behind a cycle get level null, or raise where the graph must be `acyclic`.
 
     It ends when no free node is left; with more than `most` levels, where that is given, it raises.
     """
@@ -102,6 +108,8 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, most: int | None =
         out = free if out is None else out.unionByName(free)
         left = _kept(left.join(free.select("node"), "node", "left_anti"), "left")
         e = _kept(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
+    if acyclic and not left.isEmpty():
+        raise ValueError(f"the graph has a cycle: {sorted(str(r[0]) for r in left.limit(10).collect())}")
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if out is None else out.unionByName(rest)
 
@@ -112,6 +120,7 @@ def routes(edges: DataFrame, sources: DataFrame, forbidden: DataFrame | None = N
     if forbidden is not None:
         gone = forbidden.select(F.col(forbidden.columns[0]).alias("_x"))
         e = e.join(gone, F.col("src") == F.col("_x"), "left_anti").join(gone, F.col("dst") == F.col("_x"), "left_anti")
+    e = _kept(e, "edges")
     now = sources.select(F.col(sources.columns[0]).alias("node"), F.lit(1).cast("decimal(38,0)").alias("routes"))
     total = now
     for _ in range(most):
@@ -129,7 +138,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = None, k
     Rounds go on until the ranks' absolute changes sum to less than `tol`, `most` at most; or `rounds` of them without that test.
     """
     e = edges.select("src", "dst").distinct()
-    e = e.join(e.groupBy("src").agg(F.count("*").alias("_out")), "src")
+    e = _kept(e.join(e.groupBy("src").agg(F.count("*").alias("_out")), "src"), "edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     sinks = nodes.join(e.select(F.col("src").alias("node")).distinct().withColumn("_has", F.lit(True)), "node", "left").select("node", F.col("_has").isNull().alias("sink"))
     sinks = _kept(sinks, "nodes")
@@ -151,7 +160,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = None, k
 
 def diffuse(edges: DataFrame, alpha: float = 0.5, steps: int = 8, keep_every: int = 4) -> DataFrame:
     """(node, density): starts from in-degrees; each step f becomes (1 - alpha) f + alpha mean of f over successors, sinks stay."""
-    e = edges.select("src", "dst").distinct()
+    e = _kept(edges.select("src", "dst").distinct(), "edges")
     density_ = degrees(e).select("node", F.col("fan_in").cast("double").alias("f"))
     for k in range(steps):
         mean = e.join(density_.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.avg("f").alias("m"))

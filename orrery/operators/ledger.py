@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions.constants import PHI_INV
+from orrery.operators import perf
 
 
 def entropy_of(total: Column, xlogx: Column) -> Column:
@@ -54,8 +55,8 @@ def golden_prior(nodes: DataFrame, open_: Column, node: str) -> DataFrame:
 def imputed(nodes: DataFrame, known: DataFrame, node: str, value: str) -> DataFrame:
     """Nodes with their value, the median of the matched where there is none, or 1 where nothing matched."""
     joined = nodes.join(known.select(node, value), node, "left")
-    middle = joined.agg(F.median(value).alias("_m"))  # one row
-    return joined.crossJoin(F.broadcast(middle)).withColumn("imputed", F.col(value).isNull()).withColumn(value, F.coalesce(value, "_m", F.lit(1.0))).drop("_m")
+    middle = perf.median(joined, value)
+    return joined.withColumn("imputed", F.col(value).isNull()).withColumn(value, F.coalesce(value, F.lit(1.0 if middle is None else middle)))
 
 
 def branching(counts: DataFrame, order: str, n: str) -> DataFrame:

@@ -5,15 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def order_statistics(frame: DataFrame, value: str, ranks: list[int], most: int = 50_000) -> list:
+    """The exact values of given ranks (from 1) of a whole column, nulls aside, without one task that holds all values.
+
+    Sketched percentiles bracket a rank; the rows below are counted, the bracket is kept and narrowed again, until it has at most `most`
+    distinct values, whose counts the driver takes. A bracket that does not get narrower is cut at its middle value.
+    """
+    v = frame.select(F.col(value).alias("_v")).where("_v IS NOT NULL")
+    out = []
+    for rank in ranks:
+        rows, before = v, 0
+        while True:
+            got = rows.groupBy("_v").count().orderBy("_v").limit(most + 1).collect()
+            if len(got) <= most:
+                break
+            n = rows.count()
+            at, wide = (rank - before - 0.5) / n, 2e-4
+            lo, middle, hi = rows.agg(F.percentile_approx("_v", [max(0.0, at - wide), at, min(1.0, at + wide)], 20_000)).first()[0]
+            below, within = rows.agg(F.count_if(F.col("_v") < lo), F.count_if(F.col("_v").between(lo, hi))).first()
+            if not before + below < rank <= before + below + within:
+                lo, hi = None, None
+            narrowed = rows.where(F.col("_v").between(lo, hi)) if lo is not None else None
+            if narrowed is None or within == n:
+                below = rows.where(F.col("_v") < middle).count()
+                narrowed = rows.where(F.col("_v") >= middle) if rank > before + below else rows.where(F.col("_v") < middle)
+                before += below if rank > before + below else 0
+            else:
+                before += below
+            rows = narrowed
+        for r in got:
+            before += r["count"]
+            if before >= rank:
+                break
+        out.append(r["_v"] if got else None)
+    return out
+
+
+def percentile(frame: DataFrame, value: str, share: float):
+    """The nearest-rank percentile of a whole column: its ceil(share n)-th value."""
+    import math
+
+    n = frame.select(F.count(value)).first()[0]
+    return order_statistics(frame, value, [max(1, math.ceil(share * n - 1e-9))])[0] if n else None
+
+
+def median(frame: DataFrame, value: str) -> float | None:
+    n = frame.select(F.count(value)).first()[0]
+    return sum(map(float, order_statistics(frame, value, sorted({(n + 1) // 2, n // 2 + 1})))) / (1 if n % 2 else 2) if n else None
+
+
 def median_runs(frame: DataFrame, keys: list[str], value: str) -> DataFrame:
     return frame.groupBy(*keys).agg(F.median(value).alias("median"), F.count(value).alias("runs"))
 
 
 def quadrants(frame: DataFrame, size: str, time: str, share: float = 0.8) -> DataFrame:
-    """big: size at its P80 or more; hot: time at its P80 or more and above 0. The percentiles are one row, joined by broadcast of a fixed size."""
-    cuts = frame.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {size})").alias("size_cut"), F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {time})").alias("time_cut")).first()
-    big = F.col(size) >= F.lit(cuts["size_cut"])
-    hot = (F.col(time) >= F.lit(cuts["time_cut"])) & (F.col(time) > 0)
+    """big: size at its P80 or more; hot: time at its P80 or more and above 0. The percentiles are two numbers."""
+    big = F.col(size) >= F.lit(percentile(frame, size, share))
+    hot = (F.col(time) >= F.lit(percentile(frame, time, share))) & (F.col(time) > 0)
     name = F.when(big & hot, "GOULOT").when(big, "GROSSE_FROIDE").when(hot, "PETITE_CHAUDE").otherwise("NEUTRE")
     return frame.select("*", big.alias("big"), hot.alias("hot"), name.alias("quadrant"))
 

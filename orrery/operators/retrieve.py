@@ -4,28 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from orrery.operators import perf
+
 
 def tokenized(docs: DataFrame, doc: str, text: str, pattern: str = r"[^a-z0-9À-ɏ]+") -> DataFrame:
     """(doc, token): the distinct lower-case tokens of each document."""
     return docs.select(doc, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), pattern))).alias("token")).where("token <> ''")
 
 
-def idf(tokens: DataFrame, doc: str, n_docs: int) -> DataFrame:
-    """(token, df, idf): ln(N/df) / ln N, from 0 for a token of all documents to 1 for one of a single document; 0 where N <= 1."""
-    counts = tokens.groupBy("token").agg(F.count_distinct(doc).alias("df"))
+def idf(tokens: DataFrame, doc: str, n_docs: int, unique: bool = False) -> DataFrame:
+    """(token, df, idf): ln(N/df) / ln N, from 0 for a token of all documents to 1 for one of a single document; 0 where N <= 1.
+
+    Where ids are `unique`, (doc, token) rows are distinct, and only a sum by token is shuffled.
+    """
+    counts = tokens.groupBy("token").agg((F.count("*") if unique else F.count_distinct(doc)).alias("df"))
     value = F.log(n_docs / F.col("df")) / F.log(F.lit(float(n_docs))) if n_docs > 1 else F.lit(0.0)
     return counts.withColumn("idf", value)
 
 
-def overlap_topk(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k: int, n_docs: int) -> DataFrame:
+#: Distinct tokens of queries that are broadcast to the documents.
+BROADCAST_TOKENS = 200_000
+
+
+def overlap_topk(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k: int, n_docs: int, unique: bool = False) -> DataFrame:
     """The k documents of largest summed IDF overlap with each query (a top-k report).
 
-    Tokens of all documents (idf 0) add nothing and are dropped before the join, which meets on the
+    Postings of tokens that no query holds are dropped where they arise, if the queries' tokens are few enough to be
+    broadcast, before anything is shuffled. Tokens of all documents (idf 0) add nothing and are left out of the join, which meets on the
     token; sums are partial before the shuffle.
     """
-    tokens = tokenized(docs, doc, text)
-    weights = idf(tokens, doc, n_docs).where("idf > 0")
     wanted = tokenized(queries, query, text)
+    needed = wanted.select("token").distinct()
+    n = needed.limit(BROADCAST_TOKENS + 1).count()
+    tokens = tokenized(docs, doc, text).join(F.broadcast(needed) if n <= BROADCAST_TOKENS else needed, "token", "left_semi")  # at most BROADCAST_TOKENS rows
+    weights = idf(tokens, doc, n_docs, unique).where("idf > 0")
     weighted = wanted.join(weights.select("token", "idf"), "token")
     scores = tokens.join(weighted, "token").groupBy(query, doc).agg(F.sum("idf").alias("score"), F.count("*").alias("shared"))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 9).desc(), doc))
@@ -60,7 +72,7 @@ def chains(nodes: DataFrame, links: DataFrame, node: str, cost: str, most: int,
 
     Level by level; a level keeps its `beam` cheapest prefixes, and `truncated` says that some level had more.
     """
-    middle = nodes.agg(F.median(cost)).first()[0] or 0.0
+    middle = perf.median(nodes, cost) or 0.0
     price = nodes.select(F.col(node).alias("_n"), F.col(cost).cast("double").alias("_c"))
     level = price.select(F.array("_n").alias("chain"), F.col("_c").alias("total"))
     out, cut = None, False

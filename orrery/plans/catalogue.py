@@ -135,7 +135,10 @@ def renyi_sweep_brand(spark, d):
     return shown(out.withColumn("a", text("alpha", 10)).withColumn("t_e4", text("t", 10000)), F.col("a").alias("alpha"), "p_brand", "t_e4", h=True, d=True)
 
 
-@query("unification_check", "SELECT p_brand, true AS unified FROM part GROUP BY 1")
+@query("unification_check", """
+WITH s AS (SELECT p_brand, count(*) AS n, sum(p_retailprice) AS s, max(p_retailprice) AS m, sum(p_retailprice * ln(p_retailprice)) AS x, sum(pow(p_retailprice, 2)) AS q FROM part GROUP BY 1),
+r AS (SELECT p_brand, max(p_retailprice * n / s) AS m, avg(p_retailprice * n / s * ln(p_retailprice * n / s)) AS one, avg(pow(p_retailprice * n / s, 2)) AS two FROM part JOIN s USING (p_brand) GROUP BY 1)
+SELECT p_brand, abs(ln(n) - (ln(s) - x / s) - one) < 1e-9 AND abs(ln(n) + ln(q / (s * s)) - ln(two)) < 1e-9 AND abs(ln(n) + ln(s.m / s) - ln(r.m)) < 1e-9 AND least(one, ln(two), ln(r.m)) > -1e-9 AS unified FROM s JOIN r USING (p_brand)""")
 def unification_check(spark, d):
     out = divergence.alpha_sweep(read(spark, d, "part"), ["p_brand"], "p_retailprice", [1.0, 2.0, math.inf])
     return out.groupBy("p_brand").agg(F.bool_and("unified").alias("unified"))
@@ -219,9 +222,9 @@ def formula_supplier(spark, d):
     return s.select("l_suppkey", rounded(dsl.formula("100 - sqrt(lilith_variance)/phi - shannon_entropy^2", s.columns), 2).alias("value"), rounded(dsl.formula("-2^2 * shannon_entropy", s.columns)).alias("tight"))
 
 
-@query("gate_closed_filter", f"WITH {SUPPLIER} SELECT k AS l_suppkey FROM q WHERE NOT (phi_ratio < 2.72 OR entropy_norm > 0.99)")
+@query("gate_closed_filter", f"WITH {SUPPLIER} SELECT k AS l_suppkey FROM q WHERE NOT (phi_ratio < 2.72 AND entropy_norm > 0.9843)")
 def gate_closed_filter(spark, d):
-    return dsl.filter_gate(suppliers(spark, d), "phi_ratio < 2.72 or entropy_norm > 0.99", closed=True).select("l_suppkey")
+    return dsl.filter_gate(suppliers(spark, d), "phi_ratio < 2.72 and entropy_norm > 0.9843", closed=True).select("l_suppkey")
 
 
 @query("f1_tripwire", f"WITH {SUPPLIER} SELECT k AS l_suppkey, {_r('pow(phi_ratio - 1, 2) / n', 'bound')}, {_r('1 + sqrt(n * var_rel)', 'ratio_most')}, CASE WHEN n < 3 THEN 'INDÉCIDABLE' WHEN phi_ratio >= 5 THEN 'CONDITIONNEL' ELSE 'DÉMONTRÉ' END AS verdict FROM q")
