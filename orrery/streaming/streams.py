@@ -84,9 +84,9 @@ def silences(events: DataFrame, key: str, ts: str = "ts", seconds: int = 1800, l
         import pandas as pd
 
         waiting = list(state.get[0]) if state.exists else []
-        if not state.hasTimedOut:
-            waiting = sorted([*waiting, *(int(x) for pdf in batches for x in pdf["_us"])])
         mark, out = state.getCurrentWatermarkMs() * 1000, []
+        if not state.hasTimedOut:
+            waiting = sorted([*waiting, *(int(x) for pdf in batches for x in pdf["_us"] if x >= mark)])
         while waiting and waiting[0] + span < mark:
             last = waiting.pop(0)
             if not waiting or waiting[0] - last > span:
