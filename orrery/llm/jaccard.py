@@ -567,13 +567,47 @@ def units(pairs: DataFrame, folder: str, parts: int, unit, out, schema: str) ->
             return known[blob, place]
 
         for batch in batches:
+            found: list[tuple] = []
             for _, x, y, *where in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                yield out(list(unit(store, chunk(*where[:3]), chunk(*where[3:]), x == y)))
+                found += unit(store, chunk(*where[:3]), chunk(*where[3:]), x == y)
+                if len(found) > 10_000:
+                    yield out(found)
+                    found = []
+            yield out(found)
         store.close()
 
     return pairs.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, schema)
 
 
+def small_groups(rows: DataFrame, folder: str, parts: int, unit, out, schema: str) -> DataFrame:
+    """The same for groups of one chunk, where their rows meet."""
+
+    def run(batches):
+        store, held, now = Store(folder), [], None
+
+        def done():
+            chunk = pa.Table.from_batches(held)
+            columns = {c: chunk[c].to_pylist() for c in chunk.column_names}, {}
+            return unit(store, columns, columns, True)
+
+        for batch in batches:
+            found: list[tuple] = []
+            key = batch["key"].to_numpy()
+            cuts = [0, *(1 + np.flatnonzero(key[1:] != key[:-1])).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and key[a] != now:
+                    found += done()
+                    held = []
+                now = key[a]
+                held.append(batch.slice(a, b - a))
+            yield out(found)
+        if held:
+            yield out(list(done()))
+        store.close()
+
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(run, schema)
+
+
 def _sets(store: Store, chunk: tuple[dict, dict]) -> list[np.ndarray]:
     """A chunk's sets, read once while the chunk is held."""
     rows, held = chunk
@@ -582,6 +616,60 @@ def _sets(store: Store, chunk: tuple[dict, dict]) -> list[np.ndarray]:
     return held["sets"]
 
 
+class Joining:
+    """Labels that links found in one task have joined."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, k: int) -> int:
+        parent = self.parent
+        while parent.get(k, k) != k:
+            parent[k] = parent.get(parent[k], parent[k])
+            k = parent[k]
+        return k
+
+    def links(self, left: dict, right: dict, found: tuple):
+        """Of found links between rows of columns (fp, n, label), those that join two labels which earlier ones have not joined."""
+        for i, j, overlap in zip(*(x.tolist() for x in found), strict=True):
+            u, v = self.root(left["label"][i]), self.root(right["label"][j])
+            if u != v:
+                self.parent[u] = v
+                (a, n), (b, m) = sorted([(left["fp"][i], left["n"][i]), (right["fp"][j], right["n"][j])])
+                yield a, b, overlap, n, m
+
+
+def small_runs(rows: DataFrame, folder: str, sketch, parts: int) -> DataFrame:
+    """Links across labels in runs of one chunk. Runs of neighbouring sets come together, and the sets of several runs are joined at once."""
+
+    def run(batches):
+        store, held, now = Store(folder), {}, None
+        size = 0
+
+        def done():
+            columns = {c: [r[k] for r in held.values()] for k, c in enumerate(("fp", "n", "label", "file", "at"))}
+            sets = _sets(store, (columns, {}))
+            return Joining().links(columns, columns, trie_join(sets, sets, sketch.value))
+
+        for batch in batches:
+            found: list[tuple] = []
+            for key, *r in zip(*[batch[c].to_pylist() for c in ("key", "fp", "n", "label", "file", "at")], strict=True):
+                if key != now and (len(held) >= RUN_CHUNK or size >= VERIFY_SHINGLES):
+                    found += done()
+                    held, size = {}, 0
+                now = key
+                if r[0] not in held:
+                    held[r[0]] = r
+                    size += r[1]
+            yield _links(found)
+        if held:
+            yield _links(list(done()))
+        store.close()
+
+    rows = rows.repartition(parts, "lo", F.pmod("key", F.lit(8))).sortWithinPartitions("lo", "hi", "key", "fp")
+    return rows.mapInArrow(run, LINKS)
+
+
 def across(runs_: DataFrame, classes: DataFrame, folder: str, sketch) -> DataFrame:
     """Links between sets of one run whose labels differ: rows of (run, fp, n, label) in, links (a, b, overlap, n_a, n_b) out.
 
@@ -589,29 +677,17 @@ def across(runs_: DataFrame, classes: DataFrame, folder: str, sketch) -> DataFra
     """
     spark = runs_.sparkSession
     many = runs_.groupBy("run").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    rows = runs_.join(many.select("run", F.ceil(F.col("c") / RUN_CHUNK).cast("int").alias("k")), "run").join(classes.select("fp", "file", "at"), "fp")
-    rows = shared.written(rows.select(F.col("run").alias("key"), F.pmod(F.xxhash64("fp"), F.col("k")).cast("int").alias("own"), "k", "fp", "n", "label", "file", "at"), "open")
-    chunks = chunk_files(rows, folder, tasks(spark, rows.count(), 100 * RUN_CHUNK))
+    rows = runs_.join(many.select("run", F.ceil(F.col("c") / RUN_CHUNK).cast("int").alias("k"), "lo", "hi"), "run").join(classes.select("fp", "file", "at"), "fp")
+    rows = shared.written(rows.select(F.col("run").alias("key"), F.pmod(F.xxhash64("fp"), F.col("k")).cast("int").alias("own"), "k", "fp", "n", "label", "file", "at", "lo", "hi"), "open")
+    small, large = rows.where("k = 1"), rows.where("k > 1").drop("lo", "hi")
+    some = small_runs(small, folder, sketch, tasks(spark, small.count(), 50 * RUN_CHUNK))
+    chunks = chunk_files(large, folder, tasks(spark, large.count(), 100 * RUN_CHUNK))
     pairs = chunk_pairs(chunks, True)
 
     def unit(store, left, right, same):
-        (l, _), (r, _) = left, right
-        parent: dict[int, int] = {}
-
-        def root(k):
-            while parent.get(k, k) != k:
-                parent[k] = parent.get(parent[k], parent[k])
-                k = parent[k]
-            return k
-
-        for i, j, overlap in zip(*(x.tolist() for x in trie_join(_sets(store, left), _sets(store, right), sketch.value)), strict=True):
-            u, v = root(l["label"][i]), root(r["label"][j])
-            if u != v:
-                parent[u] = v
-                (a, n), (b, m) = sorted([(l["fp"][i], l["n"][i]), (r["fp"][j], r["n"][j])])
-                yield a, b, overlap, n, m
+        return Joining().links(left[0], right[0], trie_join(_sets(store, left), _sets(store, right), sketch.value))
 
-    return units(pairs, folder, tasks(spark, pairs.count(), 20), unit, _links, LINKS)
+    return some.unionByName(units(pairs, folder, tasks(spark, pairs.count(), 20), unit, _links, LINKS))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -689,7 +765,8 @@ def link_counts(groups: DataFrame, folder: str) -> DataFrame:
     many = many.select("label", F.greatest(F.ceil(F.col("c") / COUNT_CHUNK), F.least("c", F.ceil(F.col("s") / COUNT_SHINGLES))).cast("int").alias("k"))
     rows = groups.join(many, "label").select(F.col("label").alias("key"), F.pmod(F.xxhash64("fp"), F.col("k")).cast("int").alias("own"), "k", "label", "fp", "file", "at", "n", "copies")
     rows = shared.written(rows, "linked")
-    chunks = chunk_files(rows, folder, tasks(spark, rows.count(), 100 * COUNT_CHUNK))
+    small, large = rows.where("k = 1"), rows.where("k > 1")
+    chunks = chunk_files(large, folder, tasks(spark, large.count(), 100 * COUNT_CHUNK))
     pairs = chunk_pairs(chunks, False)
 
     def unit(store, left, right, same):
@@ -708,7 +785,9 @@ def link_counts(groups: DataFrame, folder: str) -> DataFrame:
     def out(found):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [()] * 3)], names=["fp", "sets", "docs"])
 
-    counted = units(pairs, folder, tasks(spark, pairs.count(), 200), unit, out, "fp long, sets long, docs long")
+    schema = "fp long, sets long, docs long"
+    counted = units(pairs, folder, tasks(spark, pairs.count(), 200), unit, out, schema)
+    counted = counted.unionByName(small_groups(small, folder, tasks(spark, small.count(), 200 * COUNT_CHUNK), unit, out, schema))
     return counted.groupBy("fp").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
 
 
