@@ -10,7 +10,7 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -201,3 +201,71 @@ def resolved(names: DataFrame, candidates: list[tuple[DataFrame, str]], name: st
     first = F.row_number().over(Window.partitionBy(name).orderBy("level"))
     best = union.withColumn("_r", first).where("_r = 1").drop("_r")
     return out.join(best, name, "left")
+
+
+def transposed(edges: DataFrame) -> DataFrame:
+    return edges.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in edges.columns])
+
+
+def closure(edges: DataFrame, backward: bool = False) -> DataFrame:
+    """(origin, node) of everything that each node reaches, in as many steps as it takes, itself left out; path doubling, so rounds grow with the logarithm of the longest path."""
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    known = _kept(edges.select(F.col(a).alias("origin"), F.col(b).alias("node")).where("origin <> node").distinct(), "closure")
+    n = known.count()
+    while True:
+        longer = known.join(known.select(F.col("origin").alias("node"), F.col("node").alias("_to")), "node").select("origin", F.col("_to").alias("node")).where("origin <> node")
+        known = _kept(known.union(longer).distinct(), "closure")
+        before, n = n, known.count()
+        if n == before:
+            return known
+
+
+def cascade(edges: DataFrame, modified: DataFrame) -> DataFrame:
+    """(node, why): the modified nodes, and all that depends on them directly or not."""
+    changed = modified.select(F.col(modified.columns[0]).alias("node")).distinct()
+    behind = reach(edges, changed, None, backward=True).select("node").distinct().join(changed, "node", "left_anti")
+    return changed.withColumn("why", F.lit("modified")).unionByName(behind.withColumn("why", F.lit("dependant")))
+
+
+def dependency_order(edges: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, place, node): what each wanted node needs among known ones, in an order that puts needs first; alphabetical where there is a cycle."""
+    names = known.select(F.col(known.columns[0]).alias("node")).distinct()
+    need = reach(edges, wanted, None).select("origin", "node").join(names, "node", "left_semi")
+    need = _kept(need.union(wanted.select(F.col(wanted.columns[0]).alias("node"), F.col(wanted.columns[0]).alias("origin"))).select("origin", "node").distinct(), "need")
+    pair = lambda c: F.concat_ws("\x00", "origin", c)
+    inside = need.join(edges.select(F.col("src").alias("node"), "dst").distinct(), "node").join(need.select("origin", F.col("node").alias("dst")), ["origin", "dst"])
+    at = levels(inside.select(pair("dst").alias("src"), pair("node").alias("dst")), need.select(pair("node").alias("node")))
+    at = at.select(F.split("node", "\x00")[0].alias("origin"), F.split("node", "\x00")[1].alias("node"), "level")
+    cyclic = F.max(F.col("level").isNull()).over(Window.partitionBy("origin"))
+    return at.withColumn("_c", cyclic).select(F.col("origin").alias("name"), F.row_number().over(Window.partitionBy("origin").orderBy(F.when(F.col("_c"), 0).otherwise(F.col("level")), "node")).alias("place"), "node")
+
+
+def routes_without(layers: DataFrame, layer: str, node: str, removable: Column) -> DataFrame:
+    """(node, routes, delta): routes through complete layers when one removable node is left out; exact, as decimal(38, 0).
+
+    Routes are the product of the layers' sizes; without a node its layer is one smaller. A layer that is left empty parts the graph:
+    routes through the layers before it and routes through those after it are both counted.
+    """
+    sizes = layers.groupBy(layer).agg(F.count_distinct(node).cast("decimal(38,0)").alias("_n"))
+    product = lambda xs: F.aggregate(xs, F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
+    all_ = sizes.agg(F.collect_list(F.struct(F.col(layer).alias("l"), F.col("_n").alias("n"))).alias("_all"))  # one row, an entry per layer
+    rows = layers.where(removable).select(layer, node).distinct().crossJoin(F.broadcast(all_))
+    own = F.filter("_all", lambda s: s["l"] == F.col(layer))[0]["n"]
+
+    def side(which) -> Column:
+        some = F.filter("_all", which)
+        return F.when(F.size(some) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(product(F.transform(some, lambda s: s["n"])))
+
+    smaller = product(F.transform("_all", lambda s: F.when(s["l"] == F.col(layer), s["n"] - 1).otherwise(s["n"]).cast("decimal(38,0)")))
+    parted = (side(lambda s: s["l"] < F.col(layer)) + side(lambda s: s["l"] > F.col(layer))).cast("decimal(38,0)")
+    after = F.when(own > 1, smaller).otherwise(parted)
+    before = product(F.transform("_all", lambda s: s["n"]))
+    return rows.select(node, after.alias("routes"), (after - before).cast("decimal(38,0)").alias("delta"))
+
+
+def golden_routes(frame: DataFrame, k: str) -> DataFrame:
+    """routes: binary routes of length k without two ones in a row, the Fibonacci number k + 2, exact up to 38 digits; a negative length raises."""
+    pair = F.struct(F.lit(1).cast("decimal(38,0)").alias("a"), F.lit(1).cast("decimal(38,0)").alias("b"))
+    steps = F.sequence(F.lit(0), F.greatest(F.col(k), F.lit(0)).cast("int"))
+    found = F.aggregate(steps, pair, lambda p, i: F.when(i == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] + p["b"]).cast("decimal(38,0)").alias("b"))))
+    return frame.withColumn("routes", F.when(F.col(k) < 0, F.raise_error(F.lit("a length is negative")).cast("decimal(38,0)")).otherwise(found["b"]))

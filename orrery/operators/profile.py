@@ -112,3 +112,11 @@ def bipartite(frame: DataFrame, key: str, weight: str) -> DataFrame:
     cut = sums.select(key, F.struct(F.round(between, 6).alias("between"), (-F.col("n1")).alias("m"), low.alias("low"), high.alias("high")).alias("x"))
     best = cut.groupBy(key).agg(F.max("x").alias("x"))
     return best.select(key, (-F.col("x.m")).alias("n_low"), F.col("x.between").alias("between"), F.col("x.low").alias("low_mean"), F.col("x.high").alias("high_mean"), F.try_divide("x.high", "x.low").alias("contrast"))
+
+
+def static(frame: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """The mergeable triplet n, total and squares of each group, its nearest-rank P80, the ratio of largest to mean, and what n allows to say."""
+    x = F.col(weight)
+    verdict = F.when(F.col("n") < 3, "DÉGRADÉ").when(F.col("n") < 5, "CONDITIONNEL").otherwise("COUVERT")
+    out = frame.groupBy(*keys).agg(F.count(x).alias("n"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"), F.expr(f"percentile_disc(0.8) WITHIN GROUP (ORDER BY {weight})").alias("p80"), F.max(x).alias("_m"))
+    return out.withColumn("ratio", F.col("_m") * F.col("n") / F.col("total")).drop("_m").withColumn("verdict", verdict)

@@ -14,7 +14,7 @@ LANGUAGES = {"py": "python", "lean": "lean", "js": "javascript", "ts": "typescri
 
 
 def listing(spark: SparkSession, folder: str, glob: str = "*", excluded: list[str] | None = None, content: bool = True) -> DataFrame:
-    """path, size, modified and (if wanted) text of the files below a folder, less those under an excluded folder or one ending in .egg-info. The file source itself passes over names that begin with a dot or underscore below a folder."""
+    """path, size, modified and (if wanted) text of the files below a folder, less those under an excluded folder or one ending in .egg-info. The file source itself passes over names that begin with a dot or underscore below a folder, and over empty files."""
     names = EXCLUDED if excluded is None else excluded
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     parts = F.split("path", "/")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def sarif(notes: DataFrame) -> DataFrame:
-    """One SARIF 2.1.0 document per path, as text, from (path, line, level, rule, message)."""
+    """One SARIF 2.1.0 document per path, as text, from (path, line, level, rule, message). A document holds its file's notes."""
     level = F.when(F.col("level") == "CRITICAL", "error").when(F.col("level") == "WARNING", "warning").otherwise("note")
     place = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation")))
     result = F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))
@@ -16,6 +16,12 @@ def sarif(notes: DataFrame) -> DataFrame:
     return by.select("path", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 
+def with_largest(notes: DataFrame, audited: DataFrame, above: float = 3.0) -> DataFrame:
+    """The notes, and one on the largest item of each file whose ratio of largest to mean is above a bound."""
+    largest = audited.where(F.col("phi_ratio") > above).select("path", F.col("largest_item.line").alias("line"), F.lit("WARNING").alias("level"), F.lit("OUDJAT").alias("rule"), F.concat(F.col("largest_item.item"), F.lit(" holds "), F.round("phi_ratio", 2).cast("string"), F.lit(" times the mean")).alias("message"))
+    return notes.select("path", "line", "level", "rule", "message").unionByName(largest)
+
+
 def markdown(frame: DataFrame, most: int = 50) -> str:
     """A small result (its first rows, with a line that tells how many more there are) as a Markdown table."""
     rows = frame.limit(most + 1).collect()
@@ -57,3 +63,27 @@ def rotated(log: DataFrame, keys: list[str], order: str, keep: int) -> tuple[Dat
     """The last `keep` entries of each key, and the rest, which goes to the archive."""
     ranked = log.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))))
     return ranked.where(F.col("_r") <= keep).drop("_r"), ranked.where(F.col("_r") > keep).drop("_r")
+
+
+def console(frame: DataFrame, title: str, most: int = 20) -> str:
+    """A small result as aligned text under a title, its first rows, with the true count where there are more."""
+    rows = [["" if v is None else str(v) for v in r] for r in frame.limit(most).collect()]
+    n = frame.count()
+    wide = [max(map(len, column)) for column in zip(frame.columns, *rows, strict=True)]
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)).rstrip() for r in [frame.columns, ["-" * w for w in wide], *rows]]
+    return "\n".join([title, *lines, *([f"... {n - most} more of {n}"] if n > most else [])])
+
+
+def write_json_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """One small text at a path of any Hadoop file system, all or nothing: it is written beside and renamed over the old one."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = system.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, target, options)
