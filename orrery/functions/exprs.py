@@ -91,7 +91,7 @@ def age_seconds(ts: Column | str, as_of: Column) -> Column:
 
 def bytes_text(n: Column | str) -> Column:
     n = col(n)
-    return F.when(n < 1_000_000, F.format_string("%d o", n)).when(n < 1_000_000_000, F.format_string("%.1f Mo", n / 1e6)).otherwise(F.format_string("%.2f Go", n / 1e9))
+    return F.when(n < 1_000_000, F.format_string("%d o", n)).when(n < 1_000_000_000, F.format_string("%.1f Mo", F.bround(n / 1e6, 1))).otherwise(F.format_string("%.2f Go", F.bround(n / 1e9, 2)))
 
 
 def squeezed(x: Column | str) -> Column:
