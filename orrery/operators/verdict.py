@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions.constants import HYPOTHESES, PHI, PHI_INV, PRIORS
 from orrery.functions.exprs import capped, col, prior_term, risk_level, sigmoid
@@ -55,6 +55,7 @@ def posterior(frame: DataFrame, likelihood: list[Column], priors: list[float] =
 
 
 def expected_gain(dominant: Column, probability: Column, radiance: Column, item_ratio: Column) -> Column:
+    # fixed values: 15 and 4, 20, 12, 8, 2
     room = F.greatest(F.lit(0.0), 100 - radiance)
     return (
         F.when(dominant == HYPOTHESES[0], F.least(room, 15 * probability + (item_ratio - PHI) * 4))
@@ -102,3 +103,8 @@ def double_verdict(frame: DataFrame, verdicts: str, positive: list[str], negativ
     """Rows whose verdicts meet both sets."""
     sets = [F.array(*map(F.lit, x)) for x in (positive, negative)]
     return frame.where(F.arrays_overlap(col(verdicts), sets[0]) & F.arrays_overlap(col(verdicts), sets[1]))
+
+
+def safe_order(frame: DataFrame, risk_: str, name: str) -> DataFrame:
+    """The order in which things are changed most safely: least risk first, then by name; place from 1."""
+    return frame.withColumn("place", F.row_number().over(Window.orderBy(F.round(risk_, 9), name)))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window, functions as F
 
 from orrery.functions import dsl, exprs
-from orrery.functions.constants import PHI_INV
+from orrery.functions.constants import HYPOTHESES as CAUSES, PHI, PHI_INV
 from orrery.operators import graph, probes, registry, retrieve, verdict
 from orrery.plans.catalogue import _r, query, read, shown
 from orrery.plans.changes import LAYERED, _layered
@@ -402,3 +402,83 @@ def formula_errors(spark, d):
 def declaration_scores(spark, d):
     score = retrieve.declaration_score(F.col("l_linestatus") == "O", F.col("l_returnflag") == "R", F.col("l_quantity") > 25, F.col("l_discount"), F.col("l_quantity") / 10, F.col("l_linenumber").cast("double"))
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
+
+
+# ---------------------------------------------------------------- verdicts of every branch
+
+SHAPES = Given("k long, n long, var_rel double, phi_ratio double, contrast double", [(1, 4, 9.0, 9.0, 9.0), (2, 10, 2.5, 6.0, None), (3, 10, 2.5, 3.0, 5.0), (4, 10, 2.5, 3.0, 4.9), (5, 10, 2.4, 4.0, None), (6, 10, 1.2, 9.0, 9.0), (7, 10, 1.1, 9.0, 9.0)])
+
+
+@query("f1_every_branch", f"SELECT k, CASE WHEN n < 5 THEN 'INSUFFISANT' WHEN var_rel >= 2.4 THEN CASE WHEN phi_ratio >= 5 THEN 'DÉMONTRÉ' WHEN contrast >= 5 THEN 'CONDITIONNEL' ELSE 'ÉVIDENCE' END WHEN var_rel >= 1.2 THEN 'CONDITIONNEL' ELSE 'RÉFUTÉ' END AS verdict FROM ({SHAPES.sql})")
+def f1_every_branch(spark, d):
+    return verdict.f1_detector(SHAPES.frame(spark), F.col("contrast")).select("k", "verdict")
+
+
+SIGNALS = Given("k long, a long, b long, c long, e long, broken boolean", [(k, k & 1, k >> 1 & 1, k >> 2 & 1, k >> 3 & 1, bool(k >> 4 & 1)) for k in range(32)])
+
+
+@query("snapshot_verdict_signals", f"SELECT k, CASE WHEN broken THEN 'INSTRUMENT DÉGRADÉ' WHEN a + b + c + e > 0 THEN 'DÉGRADATION DÉTECTÉE' ELSE 'STABLE' END AS verdict FROM ({SIGNALS.sql})")
+def snapshot_verdict_signals(spark, d):
+    from orrery.operators import diff
+
+    return SIGNALS.frame(spark).select("k", diff.snapshot_verdict(F.col("a"), F.col("b"), F.col("c"), F.col("e"), F.col("broken")).alias("verdict"))
+
+
+@query("exact_sum_total", "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS total, count(*) AS n, true AS certain FROM lineitem GROUP BY 1, 2")
+def exact_sum_total(spark, d):
+    """The certified sums as cents: their bounds are far below half a cent, which `certain` tells."""
+    from orrery.operators import exact
+
+    out = exact.certified_sum(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    return out.select("l_returnflag", "l_linestatus", F.round("hi", 2).alias("total"), "n", (F.col("bound") < 0.005).alias("certain"))
+
+
+TIES = Given("x double, d long, r double", [(0.125, 2, 0.13), (2.5, 0, 3.0), (-0.00001, 3, 0.0), (1.005, 3, 1.005), (12.34567, 4, 12.3457)])
+
+
+@query("rounding", f"SELECT x, r FROM ({TIES.sql})")
+def rounding(spark, d):
+    rows = TIES.frame(spark)
+    return rows.select("x", F.coalesce(*[F.when(F.col("d") == k, exprs.rounded("x", k)) for k in (0, 2, 3, 4)]).alias("r"))
+
+
+GAINS = Given("cause string, p double, radiance double, ratio double", [(c, p, r, 2.5) for c in CAUSES for p in (0.2, 0.9) for r in (40.0, 95.0)])
+
+
+@query("expected_gain", f"""SELECT cause, p, radiance, round(least(100 - radiance, CASE cause WHEN '{CAUSES[0]}' THEN 15 * p + (ratio - {PHI!r}) * 4 WHEN '{CAUSES[1]}' THEN 20 * p WHEN '{CAUSES[2]}' THEN 12 * p WHEN '{CAUSES[3]}' THEN 8 * p ELSE 2.0 END), 6) AS gain FROM ({GAINS.sql})""")
+def expected_gain(spark, d):
+    gain = verdict.expected_gain(F.col("cause"), F.col("p"), F.col("radiance"), F.col("ratio"))
+    return GAINS.frame(spark).select("cause", "p", "radiance", F.round(gain, 6).alias("gain"))
+
+
+@query("safe_order", "WITH r AS (SELECT p_partkey, 100 * (0.35 * least(p_size, 50) / 50 + 0.25 * least(p_partkey % 9, 6) / 6 + 0.25 * CASE WHEN p_size > 20 THEN 0 ELSE 1 END + 0.15 * least(p_partkey % 30, 20) / 20) AS risk FROM part) SELECT p_partkey, row_number() OVER (ORDER BY round(risk, 9), p_partkey) AS place FROM r")
+def safe_order(spark, d):
+    risk = verdict.risk(F.col("p_size"), F.col("p_partkey") % 9, F.col("p_size") > 20, F.col("p_partkey") % 30)
+    return verdict.safe_order(read(spark, d, "part").withColumn("risk", risk), "risk", "p_partkey").select("p_partkey", F.col("place").cast("long").alias("place"))
+
+
+STATED = Given("path string, text string", [("v.lean", """def Same (a : Nat) := a < a
+def Fine (a : Nat) := a = a
+theorem one (h : x < x) : ∀ y z, ∃ k : Nat, y = k := by
+  simp
+theorem two (g : Fine x) (h : Same (b)) (k : Same n) : p := by
+  simp
+lemma three (h : Fine x) : ∀ e > 0, q := by
+  simp
+theorem four (h : p) (f : False) : r := by
+  simp
+""")])
+
+
+@query("vacuous_hypotheses", facts("name string, why string, detail string", ("one", "direct", "x < x"), ("two", "unfolded", "(b) < (b)"), ("four", "direct", "False")))
+def vacuous_hypotheses(spark, d):
+    from orrery.sources import declarations as decl
+
+    return decl.vacuous(decl.declarations(decl.without_comments(STATED.frame(spark)))).select("name", "why", "detail")
+
+
+@query("quantifiers", facts("name string, place int, quantifier string, bound string", ("one", 0, "∀", "y z"), ("one", 1, "∃", "k"), ("three", 0, "∀", "e")))
+def quantifiers(spark, d):
+    from orrery.sources import declarations as decl
+
+    return decl.quantifiers(decl.declarations(decl.without_comments(STATED.frame(spark)))).select("name", "place", "quantifier", "bound")

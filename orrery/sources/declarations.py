@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # fixed values
 KINDS = ["theorem", "lemma", "def", "abbrev", "structure", "class", "instance", "inductive", "axiom", "opaque", "example"]
@@ -135,3 +135,34 @@ def impossible(found: DataFrame, path: str = "path") -> DataFrame:
     pair = F.regexp_extract(stated, r"^(\S+)\s*([<>≠])\s*(\S+)$", 1)
     same = (pair != "") & (pair == F.regexp_extract(stated, r"^(\S+)\s*([<>≠])\s*(\S+)$", 3))
     return found.where(same | (stated == "False")).select(path, "name", "line", stated.alias("stated"))
+
+
+def quantifiers(found: DataFrame, path: str = "path") -> DataFrame:
+    """(path, name, place, quantifier, bound): the quantifiers of what a declaration states, in order, and the names each binds."""
+    stated = F.regexp_extract("body", r"(?s)^(.*?)(?::=|$)", 1)
+    rows = found.select(path, "name", F.posexplode(F.regexp_extract_all(stated, F.lit(r"([∀∃]\s*[^,]+,)"), 1)).alias("place", "_q"))
+    bound = F.trim(F.regexp_replace(F.regexp_replace("_q", r"^[∀∃]\s*|,$", ""), r"\s*[:∈<>≤≥].*$", ""))
+    return rows.select(path, "name", "place", F.substring("_q", 1, 1).alias("quantifier"), bound.alias("bound"))
+
+
+def _never(type_: Column) -> Column:
+    """t < t, t > t, t ≠ t or False."""
+    pair = F.regexp_extract(type_, r"^(\S+)\s*([<>≠])\s*(\S+)$", 1)
+    return (type_ == "False") | ((pair != "") & (pair == F.regexp_extract(type_, r"^(\S+)\s*([<>≠])\s*(\S+)$", 3)))
+
+
+def vacuous(found: DataFrame, path: str = "path") -> DataFrame:
+    """(path, name, line, why, detail): the first impossible hypothesis of a declaration, told directly, or after the one definition that it applies is unfolded.
+
+    A definition `def F (a : T) := body` unfolds at `F x` by putting x for its one named argument.
+    """
+    flat = F.regexp_replace("body", r"\s+", " ")
+    binders = F.regexp_extract_all(flat, F.lit(r"\(\s*[\w']+\s*:\s*([^()]*(?:\([^()]*\)[^()]*)*)\)"), 1)
+    hypotheses = found.where("kind IN ('theorem', 'lemma')").select(path, "name", "line", F.posexplode(binders).alias("_at", "_t")).withColumn("_t", F.trim("_t"))
+    defs = found.where("kind = 'def'").select(F.col("name").alias("_f"), F.regexp_extract(flat, r"\(\s*([\w']+)\s*:", 1).alias("_a"), F.trim(F.regexp_extract(flat, r":=\s*(.*)$", 1)).alias("_b")).where("_a <> ''")
+    parts = F.split("_t", " ")
+    rows = hypotheses.withColumn("_h", F.when(F.size(parts) == 2, parts[0])).join(defs, F.col("_h") == F.col("_f"), "left")
+    opened = F.regexp_replace(F.col("_b"), F.concat(F.lit(r"(?<![\w'])"), F.col("_a"), F.lit(r"(?![\w'])")), parts[1])
+    why = F.when(_never(F.col("_t")), "direct").when(_never(opened), "unfolded")
+    hits = rows.withColumn("why", why).where("why IS NOT NULL").withColumn("detail", F.when(F.col("why") == "direct", F.col("_t")).otherwise(opened))
+    return hits.groupBy(path, "name", "line").agg(F.min_by(F.struct("why", "detail"), "_at").alias("_x")).select(path, "name", "line", "_x.why", "_x.detail")

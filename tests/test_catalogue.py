@@ -13,7 +13,7 @@ SOME = [
     "snapshot_diff_orders", "observations_diff", "edge_diff", "aftershock_user", "seismic_report", "runs_segment", "markov_transitions", "latest_status", "impact_depth", "toposort_levels", "pagerank", "entropy_ledger", "overlap_topk", "p80_quadrant", "stream_sessions",
     "scan_listing", "scan_python_items", "scan_markdown", "scan_telemetry", "scan_declarations", "congruential_profile", "audit_gate", "audit_formula", "user_analyser", "user_strategy", "call_resolution", "typed_edges", "dead_code", "symbol_impact",
     "sink_sarif", "sink_atomic", "sink_texts", "probe_route", "probe_refutations", "verdict_scope", "ledgers_by_mechanism", "attention_list", "hole_dossier", "chain_forward", "residual_footprints", "baseline_comparison", "symbol_map", "validated_registry",
-    "bragg_peaks", "registry_connected", "registry_spec_errors", "covered_by_tests", "closure", "cascade_invalidation", "dependency_order", "routes_without", "golden_routes", "formula_errors", "stream_silences",
+    "bragg_peaks", "registry_connected", "registry_spec_errors", "covered_by_tests", "closure", "cascade_invalidation", "dependency_order", "routes_without", "golden_routes", "formula_errors", "stream_silences", "vacuous_hypotheses", "quantifiers", "expected_gain", "safe_order", "f1_every_branch", "rounding",
 ]
 
 
