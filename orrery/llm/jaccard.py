@@ -391,33 +391,43 @@ class Trie:
         keys, base = owner * n_codes + codes, np.arange(n) * n_codes
         by = np.argsort(codes, kind="stable")
         holders, at = owner[by], np.searchsorted(codes[by], np.arange(n_codes + 1))
-        out, waiting = [], [(0, np.zeros(n, np.int64))]
+        out, waiting = [], [(0, np.arange(n), np.zeros(n, np.int64))]
         while waiting:
-            node, counts = waiting.pop()
+            node, who, counts = waiting.pop()  # the probes that can still link with a set below, and their overlaps so far
             path, d, end = self.sets[self.of[node]], self.start[node], self.end[node]
             least = need(sizes, self.smallest[node])
             while True:
-                left = length if not d else length - (np.searchsorted(keys, base + path[d - 1], side="right") - first[:-1])
-                alive = counts + np.minimum(left, self.longest[node] - d) >= least
-                if d == end or not alive.any():
+                alive = counts + np.minimum(length[who], self.longest[node] - d) >= least[who]
+                who, counts = who[alive], counts[alive]
+                if d and len(who):
+                    left = length[who] - (np.searchsorted(keys, base[who] + path[d - 1], side="right") - first[who])
+                    alive = counts + np.minimum(left, self.longest[node] - d) >= least[who]
+                    who, counts = who[alive], counts[alive]
+                if d == end or not len(who):
                     break
                 block = path[d : min(end, d + STEP)]
                 a, many = at[block], at[block + 1] - at[block]
                 met = holders[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-                counts = counts + np.bincount(met, minlength=n)
+                counts = counts + np.bincount(met, minlength=n)[who]
                 d += len(block)
-            if not alive.any():
+            if not len(who):
                 continue
             for k in self.ends[node]:
-                hit = np.flatnonzero(counts >= need(sizes, self.sizes[k]))
+                hit = np.flatnonzero(counts >= need(sizes[who], self.sizes[k]))
                 if len(hit):
-                    out.append((hit, k, counts[hit]))
-            waiting += [(c, counts) for c in self.children[node]]
+                    out.append((who[hit], k, counts[hit]))
+            waiting += [(c, who, counts) for c in self.children[node]]
         return out
 
 
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return ordered[new]
+
+
 def trie_join(xs: list[np.ndarray], ys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs (i, j) of sets of xs and of ys that link, and their overlaps. `counts` is the sketch that gives the order.
+    """All pairs (i, j) of sets of xs and of ys that link, and their overlaps; where both are one list, of distinct sets, pairs of a set with itself may be left out. `counts` is the sketch that gives the order.
 
     Shingles that one side alone holds can add nothing, and a set whose other shingles are too few for any link is left out with them.
     """
@@ -425,7 +435,12 @@ def trie_join(xs: list[np.ndarray], ys: list[np.ndarray], counts: np.ndarray) ->
     if not xs or not ys:
         return none
     (tx, ox), (ty, oy) = flat(xs), flat(ys)
-    token = np.intersect1d(tx, ty)
+    ux = np.sort(tx)
+    if xs is ys:
+        token = _distinct(ux[1:][ux[1:] == ux[:-1]])
+    else:
+        ux, uy = _distinct(ux), _distinct(np.sort(ty))
+        token = ux[uy[np.minimum(np.searchsorted(uy, ux), len(uy) - 1)] == ux] if len(ux) and len(uy) else ux[:0]
     if not len(token):
         return none
     nx, ny = np.array([len(s) for s in xs]), np.array([len(s) for s in ys])
