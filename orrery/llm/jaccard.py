@@ -46,7 +46,7 @@ SKETCH, SLICE = 1 << 21, 1 << 16
 #: Prefix entries that a bucket is meant to hold; those of one shingle beyond which it is dealt over several.
 BUCKET_ENTRIES, RUN_SPLIT = 2_000_000, 200_000
 #: Sets of a chunk of a run, about; shingles that a trie's traversal takes between two looks at the bounds.
-RUN_CHUNK, STEP = 1000, 64
+RUN_CHUNK, STEP = 500, 64
 #: Candidate pairs and shingles that are verified at once.
 VERIFY_PAIRS, VERIFY_SHINGLES = 1024, 400_000
 #: Sets and shingles of a component that a chunk holds when links are counted, twice at most; and numbers expanded at once there.
@@ -645,13 +645,18 @@ class Joining:
         return k
 
     def links(self, left: dict, right: dict, found: tuple):
-        """Of found links between rows of columns (fp, n, label), those that join two labels which earlier ones have not joined."""
-        for i, j, overlap in zip(*(x.tolist() for x in found), strict=True):
-            u, v = self.root(left["label"][i]), self.root(right["label"][j])
-            if u != v:
-                self.parent[u] = v
-                (a, n), (b, m) = sorted([(left["fp"][i], left["n"][i]), (right["fp"][j], right["n"][j])])
-                yield a, b, overlap, n, m
+        """Of found links between rows of columns (fp, n, label), those that join two labels which earlier ones have not joined; of each pair of labels, one link is looked at."""
+        i, j, overlap = found
+        u, v = np.array(left["label"], np.int64)[i], np.array(right["label"], np.int64)[j]
+        some = np.flatnonzero(u != v)
+        pairs = np.stack([np.minimum(u, v)[some], np.maximum(u, v)[some]], axis=1)
+        _, first = np.unique(pairs, axis=0, return_index=True)
+        for k in some[first].tolist():
+            a, b = self.root(int(u[k])), self.root(int(v[k]))
+            if a != b:
+                self.parent[a] = b
+                (fp, n), (other, m) = sorted([(left["fp"][i[k]], left["n"][i[k]]), (right["fp"][j[k]], right["n"][j[k]])])
+                yield fp, other, int(overlap[k]), n, m
 
 
 def small_runs(rows: DataFrame, folder: str, sketch, parts: int) -> DataFrame:
