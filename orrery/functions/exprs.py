@@ -90,8 +90,10 @@ def age_seconds(ts: Column | str, as_of: Column) -> Column:
 
 
 def bytes_text(n: Column | str) -> Column:
+    """A whole number of bytes, long or decimal, as text; null for null. Ties are told by a quotient's exact value, as format_number does and format_string does not, and go to the even digit."""
     n = col(n)
-    return F.when(n < 1_000_000, F.format_string("%d o", n)).when(n < 1_000_000_000, F.format_string("%.1f Mo", F.bround(n / 1e6, 1))).otherwise(F.format_string("%.2f Go", F.bround(n / 1e9, 2)))
+    part = lambda unit, digits: F.translate(F.format_number(n / unit, digits), ",", "")
+    return F.when(n < 1_000_000, F.concat(n.cast("string"), F.lit(" o"))).when(n < 1_000_000_000, F.concat(part(1e6, 1), F.lit(" Mo"))).otherwise(F.concat(part(1e9, 2), F.lit(" Go")))
 
 
 def squeezed(x: Column | str) -> Column:

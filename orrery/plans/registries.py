@@ -379,7 +379,8 @@ def module_names(spark, d):
 @query("texts_of_numbers", "SELECT p_partkey, CASE WHEN b < 1000000 THEN b || ' o' WHEN b < 1000000000 THEN format('{:.1f} Mo', b / 1e6) ELSE format('{:.2f} Go', b / 1e9) END AS text, CASE WHEN p_size + p_partkey % 7 > 0 THEN round(p_size / (p_size + p_partkey % 7), 6) END AS rate FROM (SELECT *, CAST(p_partkey * p_partkey * p_partkey * 997 AS BIGINT) AS b FROM part)")
 def texts_of_numbers(spark, d):
     part = read(spark, d, "part")
-    b = F.col("p_partkey") * F.col("p_partkey") * F.col("p_partkey") * 997
+    key = F.col("p_partkey").cast("decimal(38,0)")
+    b = key * key * key * F.lit(997).cast("decimal(38,0)")  # of keys beyond 209,000 no long holds the product
     return part.select("p_partkey", exprs.bytes_text(b).alias("text"), F.round(exprs.dedup_rate("p_size", F.col("p_partkey") % 7), 6).alias("rate"))
 
 

@@ -1,12 +1,14 @@
 """Expressions and the formula language against facts that can be computed by hand."""
 
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import dsl, exprs
 from orrery.functions.constants import PHI, PHI_INV
+from orrery.plans import registries
 
 
 def one(spark, column, schema="x double", values=((0.0,),)):
@@ -78,3 +80,17 @@ def test_t_p_value():
     assert t_p_value(-3.0, 4.5) == pytest.approx(t_p_value(3.0, 4.5))
     assert t_p_value(12.0, 30) < 1e-11
     assert math.isclose(t_p_value(0.2, 200), 0.8416849, rel_tol=1e-5)
+
+
+def test_bytes_beyond_a_long_and_near_ties(spark):
+    values = [p**3 * 997 for p in (1, 10, 500, 1500, 209_000, 300_031, 320_500, 1_199_999)]
+    want = [f"{b} o" if b < 1e6 else f"{b / 1e6:.1f} Mo" if b < 1e9 else f"{b / 1e9:.2f} Go" for b in values]
+    assert one(spark, exprs.bytes_text("x"), "x decimal(38,0)", [(Decimal(b),) for b in values]) == want
+    assert one(spark, exprs.bytes_text("x"), "x long", [(None,), (-5,), (1_015_000_000,)]) == [None, "-5 o", f"{1.015:.2f} Go"]
+
+
+def test_texts_of_numbers_on_keys_of_a_large_table(spark, tmp_path):
+    keys = [7, 500, 209_001, 209_911, 320_500, 1_199_999]
+    spark.createDataFrame([(p, 3) for p in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_partkey: r.text for r in registries.texts_of_numbers(spark, str(tmp_path)).collect()}
+    assert got == {p: f"{b} o" if b < 1e6 else f"{b / 1e6:.1f} Mo" if b < 1e9 else f"{b / 1e9:.2f} Go" for p in keys for b in [p**3 * 997]}
