@@ -114,3 +114,30 @@ def test_the_query(spark):
     held = [(got[r.doc_id].score, r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
     s, y = (np.array(x) for x in zip(*held, strict=True))
     assert (s[y == 1][:, None] > s[y == 0][None]).mean() > 0.9
+
+
+def test_learns_from_every_labelled_row(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(toxicity, "GROUP", 60)
+    data = [(k, f"w{k} " * (1 + k % 3) if k % 7 else None, "en", "s", k % 2) for k in range(500)]
+    docs = spark.createDataFrame([(r[0] // 2 * 2 if r[0] > 490 else r[0], *r[1:4]) for r in data] + [(None, "x", "en", "s")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in data if r[0] % 3] + [(10, 1), (10, 0), (None, 1)], "doc_id int, toxic int")
+    made = toxicity.groups(docs, labels, str(tmp_path))
+    mark = {r[0]: r[4] for r in data if r[0] % 3} | {10: 1}
+    want = sorted((float(mark[i]), len((t or "").split())) for i, t in ((r.doc_id, r.text) for r in docs.collect()) if i in mark and zlib.crc32(str(i).encode()) % 5)
+    got = [(float(y), x.shape[1]) for r in made for ys, _, ids, _ in toxicity.read_group(f"{tmp_path}/{r.file}") for y, x in zip(ys, ids, strict=True)]
+    assert len(made) == 5 and sorted(got) == want and sum(r.rows for r in made) == len(want)
+
+
+def test_groups_make_one_model(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "GROUP", 300)
+    data = rows(2500, 3)
+    docs = spark.createDataFrame([r[:4] for r in data], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in data], "doc_id long, toxic int")
+    fitted = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, fitted).collect()}
+    again = toxicity.fit(docs.repartition(5), labels)
+    assert fitted.thresholds == again.thresholds and all((v == again.model.p[k]).all() for k, v in fitted.model.p.items())
+    held = [k for k, *_ in data if zlib.crc32(str(k).encode()) % 5 == 0]
+    y, s = np.array([data[k][4] for k in held]), np.array([got[k].score for k in held])
+    assert (s[y == 1][:, None] > s[y == 0][None]).mean() > 0.97
+    assert set(fitted.thresholds) == {"en", "fr"}
