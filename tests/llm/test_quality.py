@@ -111,3 +111,11 @@ def test_stage_keeps_columns_and_odd_rows(spark, odd):
     assert out.columns == odd.columns
     assert {r.doc_id for r in out.collect()} <= {10, 7, 12}
     assert quality.keep_good(odd.limit(0), labels.limit(0)).count() == 0
+
+
+def test_no_text_meets_the_labels(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    plans, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda stats, *rest: plans.append(stats._jdf.queryExecution().optimizedPlan().toString()) or fit(stats, *rest))
+    kept = quality.keep_good(docs, labels)
+    assert kept.count() > 0 and len(plans) == 1 and "Join" not in plans[0]
